@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkstone.operators.pairing import pairs_within
+
 # Letters of other scripts that have the shape of a Latin letter.
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜасеіјорѕухһԁԛԝ", "ABESIJKMHOPCTYXGQWaceijopsyxhdqw")
@@ -178,12 +180,5 @@ def look_alikes(df: DataFrame, key: str, fields: list[str], rows_per_salt: int =
     long = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select("k", "x.*")
     long = long.where(F.col("k").isNotNull() & F.col("text").isNotNull()).withColumn("canon", canonical_column("text")).where(F.length(F.regexp_replace("canon", r"\s+", "")) > 0)
     hashed = long.select("k", "field_name", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit(1), "canon").alias("c2"), F.xxhash64("text").alias("v1"), F.xxhash64(F.lit(1), "text").alias("v2")).distinct()
-    group = ["field_name", "c1", "c2"]
-    classes = hashed.groupBy(*group).agg(F.count("*").alias("n"), F.min("v1").alias("lo"), F.max("v1").alias("hi")).where("lo <> hi").select(*group, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
-    members = hashed.join(classes, group)
-    left = members.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
-    right = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*group, "salt")]
-    pairs = a.join(b, [*on, F.col("a.k") != F.col("b.k"), (F.col("a.v1") != F.col("b.v1")) | (F.col("a.v2") != F.col("b.v2")), F.col("a.k") < F.col("b.k")])
-    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.field_name").alias("field_name")).distinct()
+    pairs = pairs_within(hashed, ["field_name", "c1", "c2"], "k", rows_per_salt, ["v1", "v2"])
+    return pairs.select("a", "b", "field_name").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import canon, sentences, splitting
+from inkstone.llm import canon, near, overlap, sentences, splitting
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,40 @@ def p4_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("item_id").agg(F.max("sentences").alias("sentences")).join(delivered, "item_id").select(F.col("item_id").alias("chunk_id"), "delivered", "sentences", F.coalesce(F.col("delivered") == F.col("sentences"), F.lit(False)).alias("was_right"))
 
 
+# Problem 5
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cols = [F.col("query_id").alias("q"), F.col("notice_num").alias("key"), F.col("query").alias("text")]
+    ev = table(spark, d, "eval_queries").select(*cols, F.lit("eval_queries").alias("split")).unionByName(table(spark, d, "eval_holdout_queries").select(*cols, F.lit("eval_holdout_queries").alias("split")))
+    return ev, table(spark, d, "train_queries").select(*cols, "source")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    ev, tr = _splits(spark, d)
+    return overlap.cross_split_overlaps(ev, tr).select(F.col("a").alias("query_id_a"), F.col("b").alias("query_id_b"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps and distinct evaluation queries concerned, per split and training source."""
+    ev, tr = _splits(spark, d)
+    pairs = overlap.cross_split_overlaps(ev, tr)
+    named = pairs.join(ev.select(F.col("q").alias("a"), "split").distinct(), "a").join(tr.select(F.col("q").alias("b"), "source").distinct(), "b")
+    return named.groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("eval_queries"), F.countDistinct("b").alias("train_queries"))
+
+
+# Problem 6
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sets = near.word_sets(table(spark, d, "notices_capability_gate"), "notice_num", ["subject", "proposal_reason"], 40)
+    return near.similar_sets(sets, 0.6)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.similar_pairs(*_near(spark, d)).select(F.col("a").alias("notice_num_a"), F.col("b").alias("notice_num_b")).distinct()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(*_near(spark, d)).withColumnRenamed("k", "notice_num")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -67,6 +101,10 @@ QUERIES: dict[str, Query] = {
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,
     "p4_sentence_counts": p4_sentence_counts,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
 }
 
 ORACLES: dict[str, str] = {}

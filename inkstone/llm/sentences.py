@@ -263,10 +263,15 @@ def train(texts: list[str], rounds: int = 80, penalty: float = 1e-4) -> Boundary
 
 
 def fit_boundary_model(frames: list[tuple[DataFrame, str]], max_texts: int = 1_000) -> BoundaryModel:
-    """Fits on at most ``max_texts`` texts of each frame, taken in the order of a hash of the text."""
+    """Fits on at most ``max_texts`` texts of each frame, taken in the order of a hash of the text.
+
+    A hash range expected to hold twice that many is cut out first, so the driver is sent no more than it needs.
+    """
     sample: list[str] = []
     for df, column in frames:
-        rows = df.where(F.length(column) > 12).select(F.xxhash64(column).alias("h"), F.col(column).alias("t")).orderBy("h", "t").limit(max_texts)
+        usable = df.where(F.length(column) > 12).select(F.xxhash64(column).alias("h"), F.col(column).alias("t"))
+        share = min(1.0, 2 * max_texts / max(1, usable.count()))
+        rows = usable.where(F.col("h") <= int(-(2**63) + share * (2**64 - 2))).orderBy("h", "t").limit(max_texts)
         sample += [r["t"] for r in rows.collect()]
     return train(sample)
 
