@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import canon, near, overlap, sentences, splitting
-from inkstone.session import table
+from inkstone.llm import canon, mixing, near, neighbours, overlap, packing, sentences, splitting, tokens
+from inkstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,57 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(*_near(spark, d)).withColumnRenamed("k", "notice_num")
 
 
+# Problem 7
+DIMENSION = 64
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbours.usable_vectors(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding", DIMENSION)
+    near_ones = neighbours.nearest(vectors, DIMENSION, 5, min_cosine=0.9, relax=0.4)
+    return near_ones.select(F.least("q", "n").alias("chunk_id_a"), F.greatest("q", "n").alias("chunk_id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar chunks of each chunk whose notice number is divisible by 20, against all."""
+    source = table(spark, d, "chunk_embeddings")
+    vectors = neighbours.usable_vectors(source, "chunk_id", "embedding", DIMENSION)
+    asked = source.where(F.split_part("chunk_id", F.lit("-"), F.lit(1)).try_cast("bigint") % 20 == 0).select(F.col("chunk_id").alias("id"))
+    return neighbours.nearest(vectors, DIMENSION, 5, relax=0.4, queries=asked).select(F.col("q").alias("chunk_id"), F.col("n").alias("neighbour"), F.round("cosine", 5).alias("cosine"))
+
+
+# Problem 8
+CAPACITY = 2_048
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of a text over the capacity, with its container. A text without tokens takes room for one."""
+    docs = table(spark, d, "documents").select("doc_id", F.inline(tokens.text_parts("text", CAPACITY)))
+    items = materialize(docs.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("part_no").cast("string")).alias("item"), F.greatest("tokens", F.lit(1)).alias("room"), "doc_id", "part_no", "start_char", "end_char", "tokens"), "items")
+    packed = packing.pack(items.select("item", "room"), CAPACITY)
+    return packed.join(items.drop("room"), "item").select("container_id", "doc_id", "part_no", "start_char", "end_char", "tokens", F.col("fill").alias("container_tokens"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, room used and the least number of containers the tokens could fit in."""
+    t = p8_containers(spark, d).groupBy("container_id").agg(F.max("container_tokens").alias("fill"), F.count("*").alias("items"))
+    return t.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("fill").alias("tokens"), F.ceil(F.sum("fill") / CAPACITY).alias("least_containers"), F.round(F.sum("fill") / (F.count("*") * CAPACITY), 6).alias("used_share"))
+
+
+# Problem 9
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), mixing.plain_source("source").alias("source"), tokens.token_count("text").alias("tokens"))
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "source_targets").collect()]
+    return mixing.mixture(docs, targets)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -105,6 +156,12 @@ QUERIES: dict[str, Query] = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
 
 ORACLES: dict[str, str] = {}
