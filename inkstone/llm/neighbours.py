@@ -201,7 +201,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     result = f"q {id_type}, n {id_type}, cosine float, reach float"
 
     def results(ids: np.ndarray, names: np.ndarray, s: Search) -> pd.DataFrame:
-        q, j = np.nonzero(s.found >= 0)
+        q, j = np.nonzero((s.found >= 0) & (s.score > -1.5))
         return pd.DataFrame({"q": ids[q], "n": names[s.found[q, j]], "cosine": s.score[q, j]})
 
     def own_shard(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
