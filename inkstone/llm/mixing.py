@@ -97,14 +97,15 @@ def _prefix(sized: DataFrame, rest: dict[str, float], blocks: int) -> DataFrame:
     return rows.join(whole, ["source", "block"], "left_semi").select("source", "id", "tokens", "h").unionByName(partial)
 
 
-def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int = 8, budget: float | None = None, seed: int = 17, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
+def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int = 8, budget: float | str | None = None, seed: int = 17, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Takes (``id``, ``source``, ``tokens``) with unique ids and sources spelt as in ``targets`` (source, share, most
     uses of a record). Records of sources without a target, and of null sources, have no part in the mixture; the
     report lists them with share 0. Result: (``shard``, ``position``, ``id``, ``source``, ``copy_no``, ``tokens``) and
     (``source``, ``target_share``, ``max_repeats``, ``available_tokens``, ``drawn_records``, ``drawn_tokens``,
-    ``actual_share``, ``gap``). ``budget`` defaults to the tokens of all records of the sources with a target.
+    ``actual_share``, ``gap``). ``budget`` defaults to the tokens of all records of the sources with a target;
+    ``"exact"`` takes the most at which every source that has records can give its share.
     """
     spark = sized.sparkSession
     names = [s for s, _, _ in targets]
@@ -113,6 +114,9 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int
     rows = materialize(sized.withColumn("h", order), "sized")
     have = {r["source"]: (r["n"], r["t"] or 0) for r in rows.where(F.col("source").isin(names)).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     total = {s: have.get(s, (0, 0))[1] for s in names}
+    if budget == "exact":
+        budget = min((total[s] * repeats[s] / share[s] for s in names if total[s] and share[s] > 0), default=0.0)
+        budget *= sum(share[s] for s in names if total[s])
     wanted = allocate({s: float(total[s] * repeats[s]) for s in names}, share, float(sum(total.values())) if budget is None else budget)
     passes = {s: int(wanted[s] // total[s]) if total[s] else 0 for s in names}
     rest = {s: wanted[s] - passes[s] * total[s] if passes[s] < repeats[s] else 0.0 for s in names}

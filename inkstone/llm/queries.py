@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import canon, mixing, near, neighbours, overlap, packing, sentences, splitting, tokens
+from inkstone.llm import abuse, canon, mixing, near, neighbours, overlap, packing, sentences, splitting, tokens
 from inkstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,10 +131,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Problem 9
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), mixing.plain_source("source").alias("source"), tokens.token_count("text").alias("tokens"))
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "source_targets").collect()]
-    return mixing.mixture(docs, targets)
+    return mixing.mixture(docs, targets, budget=budget)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +145,32 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p9_exact_mixture_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mixture that meets every target exactly, as far as whole records allow."""
+    return _mixture(spark, d, "exact")[1]
+
+
+# Problem 10
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    model = abuse.fit(docs, table(spark, d, "review_labels"), "doc_id", "text", "abusive")
+    return abuse.score(docs, "text", model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("score", 5).alias("score"), "flagged")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their rate for every source in one spelling; the null source is its own."""
+    by = _scored(spark, d).groupBy(mixing.plain_source("source").alias("source"))
+    return by.agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("int")), 6).alias("rate"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -162,6 +188,10 @@ QUERIES: dict[str, Query] = {
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_exact_mixture_shares": p9_exact_mixture_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 ORACLES: dict[str, str] = {}
