@@ -40,3 +40,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once; a hint for the number of partitions of CPU-bound work."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def hash_limit(share: float) -> int:
+    """The largest 64-bit hash of the lowest ``share`` of all hashes: ``hash <= hash_limit(share)`` keeps that share."""
+    return min(2**63 - 1, -(2**63) + round(min(1.0, max(0.0, share)) * 2**64))
