@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from inkstone.llm.canon import DOT, canonical
+from inkstone.session import hash_limit
 
 WINDOW = 14
 BITS = 18
@@ -96,7 +97,7 @@ class AbuseModel:
 
     weights: np.ndarray
     offset: float
-    threshold: float = -0.3
+    threshold: float = -0.15
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Score of the most abusive stretch of each text; texts without letters score -1."""
@@ -222,7 +223,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str
     """
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct().groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("y")).where("y <> 0.5")
     share = min(1.0, 2 * max_labelled / max(1, votes.count()))
-    votes = votes.withColumn("h", F.xxhash64(F.lit(10), "k")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 2))).orderBy("h", "k").limit(max_labelled)
+    votes = votes.withColumn("h", F.xxhash64(F.lit(10), "k")).where(F.col("h") <= hash_limit(share)).orderBy("h", "k").limit(max_labelled)
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(votes, "k").select("h", "k", "t", "y").collect()
     rows.sort(key=lambda r: (r["h"], r["k"], r["t"]))
     return train([r["t"] for r in rows], [int(r["y"] > 0.5) for r in rows])

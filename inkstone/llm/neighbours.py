@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.session import materialize
+from inkstone.session import hash_limit, materialize
 
 LEAF = 256
 
@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     depth = max(0, math.ceil(math.log2(max(1, total / rows_per_shard))))
     share = min(1.0, 1.5 * sample_per_shard * 2**depth / max(1, total))
     h = F.xxhash64(F.lit(2), "vec")
-    picked = unique.where(h <= int(-(2**63) + share * (2**64 - 2))).select("vec", h.alias("h")).orderBy("h").limit(sample_per_shard * 2**depth).collect() if total else []
+    picked = unique.where(h <= hash_limit(share)).select("vec", h.alias("h")).orderBy("h").limit(sample_per_shard * 2**depth).collect() if total else []
     sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in picked), "f4").reshape(-1, dimension)
     tree, shards = routing_tree(sample, depth)
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from inkstone.session import hash_limit
+
 MARKS = ".!?…。！？｡؟।"
 CLOSERS = "”’\"')）]】」』》〉>"
 PAIRS = {"“": "”", "‘": "’", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", '"': '"'}
@@ -271,7 +273,7 @@ def fit_boundary_model(frames: list[tuple[DataFrame, str]], max_texts: int = 1_0
     for df, column in frames:
         usable = df.where(F.length(column) > 12).select(F.xxhash64(column).alias("h"), F.col(column).alias("t"))
         share = min(1.0, 2 * max_texts / max(1, usable.count()))
-        rows = usable.where(F.col("h") <= int(-(2**63) + share * (2**64 - 2))).orderBy("h", "t").limit(max_texts)
+        rows = usable.where(F.col("h") <= hash_limit(share)).orderBy("h", "t").limit(max_texts)
         sample += [r["t"] for r in rows.collect()]
     return train(sample)
 
