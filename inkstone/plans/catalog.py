@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import snapshots
+from inkstone.plans import queries_text  # noqa: F401
+from inkstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from inkstone.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query, with its SQL where there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
 CONTENT = ["subject", "proposer_category", "committee", "proposal_reason", "ai_summary"]
 
 _CHANGES = """
