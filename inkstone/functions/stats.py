@@ -32,10 +32,11 @@ def sign_flip(deltas: Column) -> Column:
     """
     active = F.filter(deltas, lambda x: x != 0)
     observed = F.abs(F.aggregate(active, F.lit(0).cast("long"), lambda a, x: a + x))
-    patterns = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size(active)) - 1)
+    patterns = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.size(active)).cast("bigint") - 1)
 
     def total(pattern: Column) -> Column:
-        signed = F.transform(active, lambda x, i: F.when(F.shiftright(pattern, i).bitwiseAND(F.lit(1)) == 1, x).otherwise(-x))
+        up = lambda i: F.pmod(F.floor(pattern / F.pow(F.lit(2.0), i)), F.lit(2)) == 1
+        signed = F.transform(active, lambda x, i: F.when(up(i), x).otherwise(-x))
         return F.abs(F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x))
 
     return F.size(F.filter(patterns, lambda p: total(p) >= observed)) / F.size(patterns)
