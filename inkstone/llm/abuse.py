@@ -230,7 +230,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
 
 def score(df: DataFrame, text: str, model: AbuseModel) -> DataFrame:
-    """Adds ``score`` and ``flagged``; null texts and texts without letters score -1 and aren't flagged."""
+    """Adds ``score`` and ``flagged``, in place of columns that have these names; null texts and texts without letters
+    score -1 and aren't flagged. Every row keeps its place, repeated ones too."""
 
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:

@@ -162,10 +162,7 @@ def canonical_column(column: str | Column) -> Column:
 
 
 def canonicalize(df: DataFrame, columns: list[str], suffix: str = "_canonical") -> DataFrame:
-    """Adds the consistent form of each column. Extra columns stay; a clash of names is an error."""
-    clash = [c + suffix for c in columns if c + suffix in df.columns]
-    if clash:
-        raise ValueError(f"columns exist already: {clash}")
+    """Adds the consistent form of each column. Extra columns stay; one that has a new column's name is replaced."""
     return df.withColumns({c + suffix: canonical_column(c) for c in columns})
 
 

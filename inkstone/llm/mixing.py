@@ -106,12 +106,14 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int
     (``source``, ``target_share``, ``max_repeats``, ``available_tokens``, ``drawn_records``, ``drawn_tokens``,
     ``actual_share``, ``gap``). ``budget`` defaults to the tokens of all records of the sources with a target;
     ``"exact"`` takes the most at which every source that has records can give its share.
+    Null token counts are 0. Without records or targets both results hold no drawn record.
     """
     spark = sized.sparkSession
+    targets = targets or [("", 0.0, 1)]
     names = [s for s, _, _ in targets]
     share, repeats = {s: w for s, w, _ in targets}, {s: max(1, int(r)) for s, _, r in targets}
     order = F.xxhash64(F.lit(seed), F.col("id"))
-    rows = materialize(sized.withColumn("h", order), "sized")
+    rows = materialize(sized.select("id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("h", order), "sized")
     have = {r["source"]: (r["n"], r["t"] or 0) for r in rows.where(F.col("source").isin(names)).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     total = {s: have.get(s, (0, 0))[1] for s in names}
     if budget == "exact":

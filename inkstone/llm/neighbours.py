@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     """
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)["id"]
-    all_rows = materialize(vectors.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
+    all_rows = materialize(vectors.select("id", "vec").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
     first = Window.partitionBy("h1", "h2").orderBy("id")
     ranked = all_rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     listed = materialize(ranked.select("id", "vec", "h1", "h2", "r"), "same-vectors")
