@@ -135,6 +135,10 @@ class Search:
         self.walk(node.inside, rows[~near & (d - reach <= node.radius)])
 
 
+def _nothing(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype="f4" if c in ("cosine", "reach") else object) for c in columns})
+
+
 def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), "f4").reshape(-1, dimension)
 
@@ -206,7 +210,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
 
     def own_shard(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right) or not len(left):
-            return pd.DataFrame({"q": [], "n": [], "cosine": [], "reach": []})
+            return _nothing("q", "n", "cosine", "reach")
         points, ids = _matrix(left["vec"], dimension), left["id"].to_numpy()
         asked_ids = right["q"].to_numpy()
         position = pd.Series(np.arange(len(ids)), index=ids).reindex(asked_ids).to_numpy()
@@ -234,7 +238,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
 
         def other_shard(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"q": [], "n": [], "cosine": []})
+                return _nothing("q", "n", "cosine")
             points = _matrix(left["vec"], dimension)
             s = Search(points, _matrix(right["vec"], dimension), k, right["reach"].to_numpy(), relax, None)
             s.walk(build(points, np.arange(len(points)), LEAF, np.random.default_rng(11)), np.arange(len(right)))
