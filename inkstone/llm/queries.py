@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import abuse, canon, mixing, near, neighbours, overlap, packing, sentences, splitting, tokens
+from inkstone.llm import abuse, canon, mixing, near, neighbours, oracles, overlap, packing, sentences, splitting, tokens
 from inkstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,4 +194,4 @@ QUERIES: dict[str, Query] = {
     "p10_rates": p10_rates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
