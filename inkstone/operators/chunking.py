@@ -109,14 +109,17 @@ def pack(pieces: list[str], limit: int, overlap: int, least: int) -> list[str]:
 
 def _bodies(settings: Settings):
     @F.pandas_udf(ArrayType(BODY))
-    def bodies(subjects: pd.Series, section_lists: pd.Series) -> pd.Series:
+    def bodies(subjects: pd.Series, own: pd.Series, summaries: pd.Series, titles: pd.Series) -> pd.Series:
         out = []
-        for subject, found in zip(subjects, section_lists, strict=True):
+        for subject, found, summary, title in zip(subjects, own, summaries, titles, strict=True):
             limit = max(settings.chunk_max_chars - (len(subject) + 1 if subject else 0), settings.chunk_min_chars)
+            named = [(s["section"], s["lines"]) for s in found]
+            if len(summary):
+                named = [*(named or [(T.NO_SECTION, [title])]), (T.SUMMARY_SECTION, summary)]
             rows = []
-            for section in found:
-                pieces = [u for line in section["lines"] if line for u in units(line, limit)]
-                rows += [(section["section"], chunk) for chunk in pack(pieces, limit, settings.chunk_overlap_chars, settings.chunk_min_chars)]
+            for label, lines in named:
+                pieces = [u for line in lines if line for u in units(line, limit)]
+                rows += [(label, chunk) for chunk in pack(pieces, limit, settings.chunk_overlap_chars, settings.chunk_min_chars)]
             out.append(rows)
         return pd.Series(out)
 
@@ -133,12 +136,9 @@ def chunk_notices(notices: DataFrame, settings: Settings | None = None, summarie
     """
     settings = settings or Settings()
     n = notices.select(F.col("notice_num").cast("bigint").alias("notice_num"), T.trim_blank(F.coalesce("subject", F.lit(""))).alias("subject"), T.trim_blank(F.coalesce("committee", F.lit(""))).alias("committee"), T.clean_text("proposal_reason", compose).alias("reason"), (T.clean_text("ai_summary", compose) if summaries and "ai_summary" in notices.columns else F.lit("")).alias("summary"))
-    own = F.transform(sections_of("reason"), lambda s: F.struct(s["section"].alias("section"), s["lines"].alias("lines")))
-    titled = F.when((F.size(own) == 0) & (F.col("summary") != ""), F.array(F.struct(F.lit(T.NO_SECTION).alias("section"), F.array("subject").alias("lines")))).otherwise(own)
-    kind = "array<struct<section:string,lines:array<string>>>"
-    extra = F.when(F.col("summary") != "", F.array(F.struct(F.lit(T.SUMMARY_SECTION).alias("section"), F.split("summary", "\n").alias("lines")))).otherwise(F.array().cast(kind))
-    marked = F.transform(F.concat(titled.cast(kind), extra.cast(kind)), lambda s: F.struct(s["section"].alias("section"), F.filter(F.transform(s["lines"], lambda p: T.trim_blank(T.strip_glued(T.strip_mark(T.trim_blank(p))))), lambda p: p != "").alias("lines")))
-    n = n.withColumn("found", _bodies(settings)(F.col("subject"), marked))
+    bare = lambda p: T.trim_blank(T.strip_glued(T.strip_mark(p)))
+    own = F.transform(sections_of("reason"), lambda s: F.struct(s["section"].alias("section"), F.transform(s["lines"], bare).alias("lines")))
+    n = n.withColumn("found", _bodies(settings)(F.col("subject"), own, F.transform(T.paragraphs("summary"), bare), bare(F.col("subject"))))
     plain = F.array_join(F.filter(F.transform(F.split("reason", "\n"), lambda p: T.strip_mark(T.trim_blank(p))), lambda p: p != ""), "\n")
     fallback = F.array(F.struct(F.lit(T.NO_SECTION).alias("section"), T.trim_blank(F.concat_ws("\n", "subject", plain)).alias("text")))
     c = n.select("notice_num", "subject", "committee", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(fallback)).alias("chunk_index", "c"))
