@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from inkstone.session import materialize
 
 
+RECORDS_PER_SHARD = 500_000
+
+
 def allocate(capacity: dict[str, float], target: dict[str, float], budget: float) -> dict[str, float]:
     """Tokens of each source: in proportion to its target, at most its capacity, ``budget`` in all if it can be."""
     given: dict[str, float] = {}
@@ -97,14 +100,15 @@ def _prefix(sized: DataFrame, rest: dict[str, float], blocks: int) -> DataFrame:
     return rows.join(whole, ["source", "block"], "left_semi").select("source", "id", "tokens", "h").unionByName(partial)
 
 
-def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int = 8, budget: float | str | None = None, seed: int = 17, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
+def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int | None = None, budget: float | str | None = None, seed: int = 17, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Takes (``id``, ``source``, ``tokens``) with unique ids and sources spelt as in ``targets`` (source, share, most
     uses of a record). Records of sources without a target, and of null sources, have no part in the mixture; the
     report lists them with share 0. Result: (``shard``, ``position``, ``id``, ``source``, ``copy_no``, ``tokens``) and
     (``source``, ``target_share``, ``max_repeats``, ``available_tokens``, ``drawn_records``, ``drawn_tokens``,
-    ``actual_share``, ``gap``). ``budget`` defaults to the tokens of all records of the sources with a target;
+    ``actual_share``, ``gap``). Without ``shards`` there are
+    8, or as many as keep them under ``RECORDS_PER_SHARD``. ``budget`` defaults to the tokens of all records of the sources with a target;
     ``"exact"`` takes the most at which every source that has records can give its share.
     Null token counts are 0. Without records or targets both results hold no drawn record.
     """
@@ -128,6 +132,7 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int
     last = _prefix(own, rest, blocks).withColumn("copy_no", (full[F.col("source")] + 1).cast("int"))
     drawn = materialize(copies.unionByName(last).withColumn("place", F.xxhash64(F.lit(seed + 1), "id", "copy_no")), "drawn")
     counts = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    shards = shards or max(8, -(-sum(counts.values()) // RECORDS_PER_SHARD))
     quotas = split_quotas(np.array([counts.get(s, 0) for s in names], "i8"), shards, seed)
     ends = np.cumsum(quotas, axis=0)
     # A record's rank in its source's permuted order: the records of the blocks before, and its rank in its own block.

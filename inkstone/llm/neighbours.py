@@ -166,12 +166,13 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dimension: int) -> Data
     return rows.mapInPandas(_unit_vectors(dimension), f"id {dict(df.dtypes)[key]}, vec binary")
 
 
-def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64, max_sample: int = 200_000) -> DataFrame:
     """(``q``, ``n``, ``cosine``): up to ``k`` most similar other vectors of each, none under ``min_cosine``.
 
     Takes (``id``, ``vec``) and, where only some are asked for, the queries' ``id``. Equal cosines go by the smaller id.
     Keys with the very same vector are searched once and expanded; of such a group each member sees the others with
-    the least ids. The routing tree is made from ``sample_per_shard`` vectors per shard.
+    the least ids. The routing tree is made from ``sample_per_shard`` vectors per shard, at most
+    ``max_sample`` in all, which also bounds the number of shards: beyond it shards grow instead.
     """
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)["id"]
@@ -185,10 +186,11 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     wanted = all_rows.select("id", "h1", "h2") if queries is None else all_rows.select("id", "h1", "h2").join(queries.select("id").distinct(), "id", "left_semi")
     membership = wanted.join(heads, ["h1", "h2"]).select("id", "rep")
     total = unique.count()
-    depth = max(0, math.ceil(math.log2(max(1, total / rows_per_shard))))
-    share = min(1.0, 1.5 * sample_per_shard * 2**depth / max(1, total))
+    depth = max(0, min(math.ceil(math.log2(max(1, total / rows_per_shard))), math.floor(math.log2(max_sample / 8))))
+    most = min(max_sample, sample_per_shard * 2**depth)
+    share = min(1.0, 1.5 * most / max(1, total))
     h = F.xxhash64(F.lit(2), "vec")
-    picked = unique.where(h <= hash_limit(share)).select("vec", h.alias("h")).orderBy("h").limit(sample_per_shard * 2**depth).collect() if total else []
+    picked = unique.where(h <= hash_limit(share)).select("vec", h.alias("h")).orderBy("h").limit(most).collect() if total else []
     sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in picked), "f4").reshape(-1, dimension)
     tree, shards = routing_tree(sample, depth)
 
