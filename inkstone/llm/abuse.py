@@ -97,7 +97,7 @@ class AbuseModel:
 
     weights: np.ndarray
     offset: float
-    threshold: float = -0.15
+    threshold: float = -0.3
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Score of the most abusive stretch of each text; texts without letters score -1."""
@@ -154,16 +154,19 @@ def _nystrom(landmarks: list[tuple[np.ndarray, np.ndarray, float]]):
     return kernel, fold
 
 
-def _diverse(v: np.ndarray, stretch: list, positive: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
-    """Positive stretches for landmarks, dealt in turn from groups that share their weightiest subsequence, so rare
-    expressions and languages are among them; within a group the best-scoring come first."""
+def _chosen(rng: np.random.Generator, v: np.ndarray, stretch: list, positive: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
+    """Positive stretches for landmarks. Half are dealt in turn from groups that share their weightiest subsequence, so
+    rare expressions and languages are among them; half are drawn from the better-scoring 85 % of the rest."""
     groups: dict[int, list[int]] = {}
     for i in sorted(positive.tolist(), key=lambda i: -scores[i]):
         u, w, _ = stretch[i]
         if len(u):
             groups.setdefault(int(u[np.argmax(v[u] * w)]), []).append(i)
     deal = sorted((turn, -scores[i], i) for members in groups.values() for turn, i in enumerate(members))
-    return np.array([i for _, _, i in deal[:count]], "i8")
+    dealt = np.array([i for _, _, i in deal[: count // 2]], "i8")
+    rest = np.setdiff1d(positive, dealt)
+    likely = rest[np.argsort(-scores[rest], kind="stable")][: int(len(rest) * 0.85)]
+    return np.concatenate([dealt, rng.choice(likely, min(count - len(dealt), len(likely)), replace=False)]).astype("i8")
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float) -> np.ndarray:
@@ -202,7 +205,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
                 for at in rng.integers(0, max(1, len(d) - WINDOW), 2):
                     chance.append(_vector(f[at : at + WINDOW]))
         positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        chosen = _diverse(v, stretch, positive, np.array(scores), int(landmarks * 0.7))
+        chosen = _chosen(rng, v, stretch, positive, np.array(scores), int(landmarks * 0.7))
         others = rng.choice(negative, min(landmarks - len(chosen), len(negative)), replace=False)
         kernel, fold = _nystrom([stretch[i] for i in (*chosen, *others)])
         value, basis = np.linalg.eigh(kernel([stretch[i] for i in (*chosen, *others)]).astype("f8"))
