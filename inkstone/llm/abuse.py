@@ -97,7 +97,7 @@ class AbuseModel:
 
     weights: np.ndarray
     offset: float
-    threshold: float = -0.3
+    threshold: float = -0.2
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Score of the most abusive stretch of each text; texts without letters score -1."""
