@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so their Python workers can import it."""
     context = spark.sparkContext
@@ -41,8 +46,10 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    local = getattr(scratch_root, "local", None) or tempfile.mkdtemp(prefix="inkstone-")
-    scratch_root.local = local
+    local = getattr(scratch_root, "local", None)
+    if local is None:
+        scratch_root.local = local = tempfile.mkdtemp(prefix="inkstone-")
+        atexit.register(shutil.rmtree, local, True)
     return f"file://{local}"
 
 
@@ -51,9 +58,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes what ``materialize`` wrote in this process, once no result that reads it is needed any more."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once; a hint for the number of partitions of CPU-bound work."""
     return max(2, spark.sparkContext.defaultParallelism)

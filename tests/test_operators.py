@@ -216,3 +216,12 @@ def test_files_that_arrive_are_refreshed(spark, tmp_path):
         chunking.chunk_notices(rows).coalesce(1).write.mode("append").json(f"{tmp_path}/in-{day}")
         refresh_from_files(spark, f"{tmp_path}/in-{day}", io.CHUNK, store, embed, "m", f"{tmp_path}/checkpoint-{day}")
     assert store.current()["generation"] == 2 and store.read("chunks").count() == 2
+
+
+def test_sweep_deletes_what_was_written(spark):
+    from inkstone import session
+
+    df = session.materialize(spark.range(5).toDF("id"))
+    assert df.count() == 5 and session.sweep(spark) >= 1 and session.sweep(spark) == 0
+    with pytest.raises(Exception, match="PATH|exist|FileNotFound|FAILED_READ"):
+        spark.read.parquet(df.inputFiles()[0]).count()
