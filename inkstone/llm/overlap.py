@@ -195,7 +195,8 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: i
     hashed = F.xxhash64("key", "segment").alias("h")
     a = ev.repartition(tasks).mapInPandas(_keys(False), schema).select(F.col("q").alias("a"), hashed).distinct()
     b = near.repartition(tasks).mapInPandas(_keys(True), schema).select(F.col("q").alias("b"), hashed).distinct()
-    met = a.join(b, "h").select("a", "b").distinct()
+    # Spark can't tell that each record became a hundred segments, so its size estimate must not decide for a broadcast.
+    met = a.hint("merge").join(b.hint("merge"), "h").select("a", "b").distinct()
     left = ev.select(F.col("q").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
     right = near.select(F.col("q").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
     pairs = met.join(left, "a").join(right, "b").where("ka = kb").select("a", "b", "ta", "tb")
