@@ -3,12 +3,13 @@
 Records are sets of words; two belong together when the share of common words reaches a threshold. PartEnum turns
 the threshold on the share into one on the number of words that differ (for sets of a band of sizes), partitions the
 word domain in two levels and enumerates subsets of the parts: two sets that differ in few enough words agree
-completely on at least one subset, so they share that subset's signature.
+completely on at least one subset, so they share that subset's signature (``min_information=None``).
 
-A signature over parts that hold only common words would bring together sets at random. Such signatures are left
-out where their words carry less information than it takes to tell the records apart (the negative logarithm of the
-share of records expected to have all of them, against the logarithm of the number of records); records keep the
-signatures of their other parts. ``min_information=None`` keeps all, which is the lossless form.
+A signature over parts that hold only common words brings together sets at random. By default sets therefore meet in
+two other ways, which together are lossless as well. Two similar sets that share a rare word share one among the
+first of their words, rare words first (prefix filter). Two that share none must be similar by their common words
+alone: sets with enough of these are compared in blocks, each two once, by the bits in which sketches of their common
+words differ, of which there can't be more than words that differ.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ class PartEnum:
         self.bands = bands(similarity)
         kept = [[int(i not in gone) for i in range(second)] for gone in itertools.combinations(range(second), spare)]
         self.subsets = np.array(kept, np.uint64)
-        self.subsets_f = self.subsets.astype("f8")
         self.salt = (np.arange(1, len(kept) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]
 
     def first(self, band: int) -> int:
@@ -53,7 +53,7 @@ class PartEnum:
         differ = math.floor((1 - s) / (1 + s) * 2 * self.bands[band][1])
         return math.ceil((differ + 1) / (self.spare + 1))
 
-    def signatures(self, words: np.ndarray, information: np.ndarray, least: float | None) -> np.ndarray:
+    def signatures(self, words: np.ndarray) -> np.ndarray:
         """Distinct signatures of one set, for its own band of sizes and the next."""
         size = len(words)
         band = next(i for i, (a, b) in enumerate(self.bands) if a <= size <= b)
@@ -66,9 +66,6 @@ class PartEnum:
             np.add.at(sums, part, mixed)
             found = sums.reshape(first, self.second) @ self.subsets.T
             found = (found ^ self.salt) * np.uint64(0x165667B19E3779F9) + (np.arange(first, dtype=np.uint64)[:, None] * np.uint64(level * 2 + 1) + np.uint64(level << 32))
-            if least is not None:
-                told = np.bincount(part, information, first * self.second).reshape(first, self.second) @ self.subsets_f.T
-                found = found[told >= least]
             out.append(found.ravel())
         return np.unique(np.concatenate(out)).view(np.int64)
 
@@ -87,35 +84,15 @@ def word_sets(df: DataFrame, key: str, texts: list[str], least_words: int) -> Da
     return one.select("k", "words", F.size("words").alias("n"))
 
 
-def similar_sets(sets: DataFrame, similarity: float = 0.8, min_information: float | None = 0.0, rare: float = 1 / 2000) -> tuple[DataFrame, DataFrame]:
-    """Links between representatives of equal sets, and membership.
-
-    Takes (``k``, ``words``, ``n``). Result: (``a``, ``b``, ``similarity``) with ``a < b``, and (``k``, ``rep``) where
-    ``rep`` is the least key with the same words. ``min_information`` is added to the logarithm of the number of
-    sets to give the least information of a signature, in nats. Word frequencies count all sets; only those of at
-    least ``rare`` of the sets are sent to the workers, of which there are at most (mean set size) / ``rare``.
-    """
-    keyed = materialize(sets.select("k", "words", "n").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")}), "word-sets")
-    reps = keyed.groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
-    members = keyed.select("k", "h1", "h2").join(reps, ["h1", "h2"]).select("k", "rep")
-    unique = materialize(keyed.join(reps.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "words", "n"), "unique-sets")
-    total = unique.count()
-    frequent = unique.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > total * rare).toPandas() if total else pd.DataFrame({"w": [], "df": []})
-    order = np.argsort(frequent["w"].to_numpy("i8"))
-    known = frequent["w"].to_numpy("i8")[order]
-    told = np.log(max(total, 1) / np.maximum(frequent["df"].to_numpy("f8")[order], 1))
-    least = None if min_information is None else math.log(max(total, 1)) + min_information
+def _by_signatures(unique: DataFrame, similarity: float) -> DataFrame:
+    """(``a``, ``b``) of sets that share a PartEnum signature."""
     enum = PartEnum(similarity)
-    unseen = math.log(1 / rare)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, found = [], []
             for k, words in zip(batch["k"], batch["words"], strict=True):
-                w = np.asarray(words, "i8")
-                at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-                information = np.where(known[at] == w, told[at], unseen) if len(known) else np.full(len(w), unseen)
-                s = enum.signatures(w.view(np.uint64), information, least)
+                s = enum.signatures(np.asarray(words, "i8").view(np.uint64))
                 keys.append(np.full(len(s), k))
                 found.append(s)
                 if sum(map(len, found)) > 200_000:
@@ -124,10 +101,96 @@ def similar_sets(sets: DataFrame, similarity: float = 0.8, min_information: floa
             if found:
                 yield pd.DataFrame({"k": np.concatenate(keys), "sig": np.concatenate(found)})
 
-    kind = dict(sets.dtypes)["k"]
-    spread = unique.select("k", "words").repartition(4 * slots(sets.sparkSession), "k")
+    kind = dict(unique.dtypes)["k"]
+    spread = unique.select("k", "words").repartition(4 * slots(unique.sparkSession), "k")
     signed = materialize(spread.mapInPandas(sign, f"k {kind}, sig bigint"), "signatures")
-    candidates = pairs_within(signed, ["sig"], "k").select("a", "b").distinct()
+    return pairs_within(signed, ["sig"], "k").select("a", "b")
+
+
+#: 64-bit numbers of a sketch; those compared for every two sets, before the rest is for the pairs left.
+SKETCH, FIRST = 8, 4
+
+
+def sketch(words: np.ndarray) -> bytes:
+    """A bit for each of 64 * ``SKETCH`` classes of words: whether the set has an odd number of them."""
+    at = ((words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    return np.packbits((np.bincount(at.astype("i8"), minlength=64 * SKETCH) & 1).astype("u1")).tobytes()
+
+
+def close_sketches(left: np.ndarray, right: np.ndarray, spare_left: np.ndarray, spare_right: np.ndarray, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in left and right whose sketches differ in no more bits than the two spare numbers add up to."""
+    other = np.ascontiguousarray(right.T)
+    for at in range(0, len(left), rows):
+        part = left[at : at + rows]
+        apart = np.zeros((len(part), len(right)), np.uint16)
+        for w in range(FIRST):
+            apart += np.bitwise_count(part[:, w, None] ^ other[w])
+        i, j = np.nonzero(apart <= spare_left[at : at + rows, None] + spare_right)
+        rest = np.bitwise_count(part[i, FIRST:] ^ right[j, FIRST:]).sum(axis=1, dtype="i8")
+        kept = apart[i, j] + rest <= spare_left[at + i] + spare_right[j]
+        yield at + i[kept], j[kept]
+
+
+def _by_words(unique: DataFrame, similarity: float, share: float, rows_per_block: int) -> DataFrame:
+    """(``a``, ``b``) of sets that share a rare word, or whose common words (in more than ``share`` of all) may be enough."""
+    total = unique.count()
+    counts = unique.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > total * share)
+    known = np.sort(counts.select("w").toPandas()["w"].to_numpy("i8"))
+    differ = (1 - similarity) / (1 + similarity)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, words in zip(batch["k"], batch["words"], strict=True):
+                w = np.asarray(words, "i8")
+                common = np.isin(w, known, assume_unique=True)
+                least, rare = math.ceil(similarity * len(w) - 1e-9), w[~common]
+                enough = len(w) - len(rare) >= least
+                out.append((k, len(w), rare[: len(w) - least + 1], sketch(w[common]) if enough else None, len(w) * differ - len(rare)))
+            yield pd.DataFrame(out, columns=["k", "n", "rare", "sketch", "spare"])
+
+    kind = dict(unique.dtypes)["k"]
+    spread = unique.select("k", "words").repartition(4 * slots(unique.sparkSession), "k")
+    parted = materialize(spread.mapInPandas(part, f"k {kind}, n int, rare array<bigint>, sketch binary, spare double"), "parted")
+    sharing = pairs_within(parted.select("k", F.explode("rare").alias("w")), ["w"], "k").select("a", "b")
+
+    ranges = bands(similarity)
+    band = sum((F.when(F.col("n") > high, 1).otherwise(0) for _, high in ranges), F.lit(0)).cast("int")
+    compared = parted.where("sketch IS NOT NULL").select("k", "n", "sketch", "spare", band.alias("band"))
+    sizes = {r["band"]: -(-r["count"] // rows_per_block) for r in compared.groupBy("band").count().collect()}
+    blocks = F.create_map(*[F.lit(x) for b in range(-1, len(ranges) + 1) for x in (b, sizes.get(b, 0))])
+    each = compared.withColumn("block", F.pmod(F.xxhash64("k"), F.greatest(blocks[F.col("band")], F.lit(1))).cast("int"))
+    others = lambda step: F.transform(F.filter(F.sequence(F.lit(-1), blocks[F.col("band") + step] - 1), lambda j: j >= 0), lambda j: F.struct((F.col("band") + step).cast("int").alias("band"), j.cast("int").alias("block")))
+    met = each.withColumn("own", F.struct("band", "block")).withColumn("other", F.explode(F.concat(others(-1), others(0), others(1))))
+    cells = met.select("k", "sketch", "spare", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH)
+        keys, spare, first, alone = rows["k"].to_numpy(), rows["spare"].to_numpy("f4") + np.float32(1e-3), rows["first"].to_numpy(bool), bool(rows["alone"].iloc[0])
+        left, right = (np.arange(len(rows)),) * 2 if alone else (np.flatnonzero(first), np.flatnonzero(~first))
+        found = [(i[i < j], j[i < j]) if alone else (i, j) for i, j in close_sketches(bits[left], bits[right], spare[left], spare[right])]
+        i, j = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, "i8") for x in (0, 1))
+        return pd.DataFrame({"x": keys[left[i]], "y": keys[right[j]]})
+
+    close = cells.groupBy("lo.band", "lo.block", F.col("hi.band").alias("band2"), F.col("hi.block").alias("block2")).applyInPandas(compare, f"x {kind}, y {kind}")
+    return sharing.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def similar_sets(sets: DataFrame, similarity: float = 0.8, min_information: float | None = 0.0, rare: float = 1 / 2000, rows_per_block: int = 4_000) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives of equal sets, and membership.
+
+    Takes (``k``, ``words``, ``n``). Result: (``a``, ``b``, ``similarity``) with ``a < b``, and (``k``, ``rep``) where
+    ``rep`` is the least key with the same words. A word is common when more than ``rare`` of the sets have it, or with
+    ``min_information`` when it carries less than that many nats above the logarithm of 1 / ``rare``; the links are the
+    same for any value, and for None, which takes PartEnum. Only common words are sent to the workers, of which there
+    are at most (mean set size) / ``rare``.
+    """
+    keyed = materialize(sets.select("k", "words", "n").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")}), "word-sets")
+    reps = keyed.groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
+    members = keyed.select("k", "h1", "h2").join(reps, ["h1", "h2"]).select("k", "rep")
+    unique = materialize(keyed.join(reps.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "words", "n"), "unique-sets")
+    met = _by_signatures(unique, similarity) if min_information is None else _by_words(unique, similarity, rare * math.exp(-min_information), rows_per_block)
+    candidates = met.distinct()
     left = unique.select(F.col("k").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
     right = unique.select(F.col("k").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb"))
     sized = candidates.join(left, "a").join(right, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))

@@ -97,6 +97,21 @@ def test_partenum_is_lossless_and_groups_are_right(spark):
     assert near.similar_pairs(links, members).count() == 0 and near.near_groups(links, members).count() == 0
 
 
+def test_edited_copies_that_are_a_third_of_all_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = rng.sample(vocabulary, 100)
+    texts = {i: base[:92] + rng.sample(vocabulary, 8) if i % 3 == 0 else rng.sample(vocabulary, 100) for i in range(240)}
+    texts[1000], texts[1001] = base + rng.sample(vocabulary, 60), base[:80] + [f"r{i}" for i in range(25)]
+    texts[1002] = texts[1001][:70] + texts[1001][80:]
+    sets = near.word_sets(spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "id bigint, t string"), "id", ["t"], 40)
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(set(texts[a]) & set(texts[b])) / len(set(texts[a]) | set(texts[b])) >= 0.6}
+    for options in ({}, {"rows_per_block": 30}, {"rare": 0.1}, {"rare": 1.0, "rows_per_block": 50}):
+        links, _ = near.similar_sets(sets, 0.6, **options)
+        assert {(r["a"], r["b"]) for r in links.collect()} == want
+    assert len(want) > 3000
+
+
 def test_bands_touch_where_sizes_are_similar():
     b = near.bands(0.6)
     at = lambda n: next(i for i, (x, y) in enumerate(b) if x <= n <= y)
