@@ -178,12 +178,28 @@ def _keys(ring: bool):
     return emit
 
 
-def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: int = 3) -> DataFrame:
+def known_words(asked: DataFrame, used: DataFrame, known_in: int, share: float) -> DataFrame:
+    """The ``word``s of ``asked`` that are words of their own, from the distinct (``key``, ``word``) in ``used``.
+
+    They occur under ``known_in`` keys at least, and under at least ``share`` of the keys of the commonest word one edit
+    away: typing errors recur as the tables grow, but stay a small share of the word they spoil.
+    """
+    counts = materialize(used.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    forms = F.expr("explode(array_append(transform(sequence(1, length(word)), i -> concat(left(word, i - 1), substring(word, i + 1))), word))")
+    mine = asked.join(counts, "word").where(F.col("n") >= known_in).select("word", "n")
+    others = counts.select(F.col("word").alias("other"), F.col("n").alias("n_other"), forms.alias("form"))
+    near = mine.select("word", forms.alias("form")).distinct().join(others, "form").where(F.levenshtein("word", "other") == 1)
+    commonest = near.groupBy("word").agg(F.max("n_other").alias("most"))
+    return mine.join(commonest, "word", "left").where(F.col("n") >= share * F.coalesce("most", F.lit(0))).select("word")
+
+
+def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: int = 3, share: float = 0.02) -> DataFrame:
     """(``a``, ``b``): ids of near-same records of the two splits that agree on their key.
 
     Both take (``q`` id, ``key``, ``text``). Rows with a null id, key or text take no part; repeated rows count
     once. Edits that turn one known word into another ask about another thing and make no pair; a word is known
-    when it occurs under at least ``known_in`` keys of all rows of both splits.
+    when it occurs under at least ``known_in`` keys of all rows of both splits, and under ``share`` of those of any
+    word one edit away (``known_words``).
     """
     usable = "q IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL"
     ev = materialize(evaluation.where(usable).select("q", "key", "text").distinct(), "eval-split")
@@ -221,6 +237,6 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: i
 
     asked = sides.select("word").distinct()
     used = ev.select("key", "text").unionByName(tr.select("key", "text")).select("key", F.explode(split("text")).alias("word"))
-    known = used.join(asked, "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= known_in)
-    other = sides.join(known.select("word"), "word", "left_semi").groupBy("a", "b", "i").agg(F.count("*").alias("n")).where("n > 1").select("a", "b").distinct()
+    known = known_words(asked, used.distinct(), known_in, share)
+    other = sides.join(known, "word", "left_semi").groupBy("a", "b", "i").agg(F.count("*").alias("n")).where("n > 1").select("a", "b").distinct()
     return verified.join(other, ["a", "b"], "left_anti").select("a", "b").distinct()

@@ -73,6 +73,16 @@ def test_another_known_word_is_another_question(spark):
     assert overlap.cross_split_overlaps(spark.createDataFrame(ev, schema), spark.createDataFrame(tr, schema)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 10])
+def test_repeated_typing_errors_stay_errors_in_large_tables(spark, size):
+    texts = [("산사태 예외 관리주체 비용", "산사태 예 관리주체 비용" if i % 100 == 0 else "비용 산사태 예외 관리주체") for i in range(100 * size)]
+    other = [("운송인 임차인 기준 공고", "운송인 임대인 기준 공고")] * 10 * size
+    schema, n = "q bigint, key bigint, text string", len(texts)
+    ev = spark.createDataFrame([(i, i, a) for i, (a, _) in enumerate(texts + other)], schema)
+    tr = spark.createDataFrame([(100_000 + i, i, b) for i, (_, b) in enumerate(texts + other)], schema)
+    assert {tuple(r) for r in overlap.cross_split_overlaps(ev, tr).collect()} == {(i, 100_000 + i) for i in range(n)}
+
+
 # Problem 6
 def test_partenum_is_lossless_and_groups_are_right(spark):
     rng = random.Random(7)
