@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,15 +187,43 @@ class BoundaryModel:
         return [text[a:b].rstrip() for a, b in zip(starts, [*starts[1:], len(text or "")], strict=True)]
 
 
-def final_characters(texts: list[str], least: float = 0.2) -> str:
-    """Letters that stand before a mark or line end at least ``least`` times as often as before a gap."""
+def count_finals(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each letter stands before a gap, and before a mark or line end."""
     gaps, ends = Counter(), Counter()
     for text in texts:
         gaps.update(_LAST_BEFORE_GAP.findall(text))
         ends.update(_LAST_BEFORE_MARK.findall(text))
+    return gaps, ends
+
+
+def choose_finals(gaps: Counter, ends: Counter, least: float = 0.2) -> str:
+    """Letters that stand before a mark or line end at least ``least`` times as often as before a gap."""
     return "".join(sorted(c for c, n in ends.items() if n >= max(3, least * gaps[c]) or "\u0e00" <= c <= "\u0e7f"))
 
 
+def final_characters(texts: list[str], least: float = 0.2) -> str:
+    return choose_finals(*count_finals(texts), least)
+
+
+def corpus_finals(frames: list[tuple[DataFrame, str]]) -> str:
+    """``final_characters`` of all texts of the frames; a row a letter comes to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gaps, ends = Counter(), Counter()
+        for batch in batches:
+            for total, found in zip((gaps, ends), count_finals(batch["t"]), strict=True):
+                total.update(found)
+        yield pd.DataFrame([(c, gaps[c], ends[c]) for c in gaps | ends], columns=["c", "gaps", "ends"])
+
+    gaps, ends = Counter(), Counter()
+    for df, column in frames:
+        counted = df.where(F.length(column) > 0).select(F.col(column).alias("t")).mapInPandas(count, "c string, gaps bigint, ends bigint")
+        for r in counted.groupBy("c").agg(F.sum("gaps").alias("gaps"), F.sum("ends").alias("ends")).collect():
+            gaps[r["c"]] += r["gaps"]
+            ends[r["c"]] += r["ends"]
+    return choose_finals(gaps, ends)
+
+
 def training_examples(texts: list[str], ends: re.Pattern[str]) -> tuple[list[tuple], list[int], list[float]]:
     """Contexts of certain boundaries (1) and certain non-boundaries (0) with weights."""
     contexts, labels, weights = [], [], []
@@ -239,9 +267,12 @@ def training_examples(texts: list[str], ends: re.Pattern[str]) -> tuple[list[tup
     return contexts, labels, weights
 
 
-def train(texts: list[str], rounds: int = 80, penalty: float = 1e-4) -> BoundaryModel:
-    """Maximum-entropy fit (full-batch, Adam) of the boundary features; deterministic for the same texts."""
-    finals = final_characters(texts)
+def train(texts: list[str], rounds: int = 80, penalty: float = 1e-4, finals: str | None = None) -> BoundaryModel:
+    """Maximum-entropy fit (full-batch, Adam) of the boundary features; deterministic for the same texts.
+
+    ``finals`` are the texts' own unless given.
+    """
+    finals = final_characters(texts) if finals is None else finals
     contexts, labels, weights = training_examples(texts, end_pattern(finals))
     index: dict[str, int] = {}
     ids, sizes = [], []
@@ -267,6 +298,7 @@ def train(texts: list[str], rounds: int = 80, penalty: float = 1e-4) -> Boundary
 def fit_boundary_model(frames: list[tuple[DataFrame, str]], max_texts: int = 1_000) -> BoundaryModel:
     """Fits on at most ``max_texts`` texts of each frame, taken in the order of a hash of the text.
 
+    The characters that may end a sentence without a mark are counted over all texts.
     A hash range expected to hold twice that many is cut out first, so the driver is sent no more than it needs.
     """
     sample: list[str] = []
@@ -275,7 +307,7 @@ def fit_boundary_model(frames: list[tuple[DataFrame, str]], max_texts: int = 1_0
         share = min(1.0, 2 * max_texts / max(1, usable.count()))
         rows = usable.where(F.col("h") <= hash_limit(share)).orderBy("h", "t").limit(max_texts)
         sample += [r["t"] for r in rows.collect()]
-    return train(sample)
+    return train(sample, finals=corpus_finals(frames))
 
 
 def starts_udf(model: BoundaryModel):

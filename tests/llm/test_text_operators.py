@@ -190,3 +190,10 @@ def test_fit_leaves_out_split_votes_and_nulls(spark):
     nothing = abuse.fit(docs, votes.limit(0), "id", "t", "y")
     assert abuse.score(docs, "t", nothing).where("flagged").count() == 0
     assert abuse.score(docs.limit(0), "t", model).count() == 0
+
+
+def test_rare_final_letters_outside_the_sample_are_counted(spark):
+    rows = [(f"{i}번째 위원회는 계획을 수립하도록 함.\n비율은 {i}.5퍼센트로 함.",) for i in range(400)] + [(f"{i}번째 바위가 골짜기로 굴러 쿵\n다음 줄의 내용임.",) for i in range(4)]
+    df = spark.createDataFrame(rows, "t string")
+    model = sentences.fit_boundary_model([(df, "t"), (df.limit(0), "t")], max_texts=20)
+    assert model.finals == sentences.final_characters([t for t, in rows]) and "쿵" in model.finals
