@@ -23,7 +23,7 @@ NO_SECTION = "body"
 
 _SQUASHED = {label.replace(" ", ""): label for label in LABELS}
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
-_DECORATION = re.compile(r"^(?:[\W_]|\(?(?:\d{1,2}|[가-하]|[IVX]+)[.)](?=\W))+|[\W_]+$")
+_DECORATION = re.compile(r"(?:[\W_]|\(?(?:\d{1,2}|[가-하]|[IVX]+)[.)](?=\W))*")
 _SPACE = re.compile(r"\s+")
 #: List marks from the outermost to the innermost kind.
 _LEVELS = [re.compile(p) for p in (r"\s*[IVX]+\.\s", r"\s*\(?\d{1,3}\.\s", r"\s*[가-하]\.\s", r"\s*\(?\d{1,3}\)\s", r"\s*\(?[가-하]\)\s", r"\s*[①-⑳㉑-㉟㊱-㊿]", r"\s*[□■◦○●ㅇㅁ▪]\s", r"\s*[-*•·※]\s")]
@@ -44,9 +44,12 @@ class Node:
 
 def plain_label(line: str | None) -> str | None:
     """The plain label of a heading line or section column, whatever its decoration; None for other text."""
-    if not line or len(line) > 40:
+    if not line:
         return None
-    return _SQUASHED.get(_SPACE.sub("", _DECORATION.sub("", line))) or _SQUASHED.get(_SPACE.sub("", line))
+    start, end = _DECORATION.match(line).end(), len(line)
+    while end > start and not line[end - 1].isalnum():
+        end -= 1
+    return _SQUASHED.get(_SPACE.sub("", line[start:end])) or _SQUASHED.get(_SPACE.sub("", line))
 
 
 def sections(text: str) -> list[tuple[str, int, int]]:

@@ -192,6 +192,13 @@ def test_fit_leaves_out_split_votes_and_nulls(spark):
     assert abuse.score(docs.limit(0), "t", model).count() == 0
 
 
+@pytest.mark.parametrize("line", ["─" * 40 + " 제안이유 " + "─" * 40, "주요내용" + " " * 60, "== 1. 제안이유 및 주요내용 ==" + "\t" * 50 + "\r\n"])
+def test_long_decoration_does_not_hide_a_heading(line):
+    assert splitting.plain_label(line) in splitting.LABELS
+    assert [s[0] for s in splitting.sections("앞의 글임.\n" + line.rstrip("\r\n") + "\n뒤의 글임.")] == ["body", splitting.plain_label(line)]
+    assert splitting.plain_label("이 법의 " + line.strip()) is None and splitting.plain_label("-" * 100_000 + "가") is None
+
+
 def test_rare_final_letters_outside_the_sample_are_counted(spark):
     rows = [(f"{i}번째 위원회는 계획을 수립하도록 함.\n비율은 {i}.5퍼센트로 함.",) for i in range(400)] + [(f"{i}번째 바위가 골짜기로 굴러 쿵\n다음 줄의 내용임.",) for i in range(4)]
     df = spark.createDataFrame(rows, "t string")
