@@ -69,7 +69,7 @@ def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ev, tr = _splits(spark, d)
-    return overlap.cross_split_overlaps(ev, tr).select(F.col("a").alias("query_id_a"), F.col("b").alias("query_id_b"))
+    return overlap.cross_split_overlaps(ev, tr).select(F.least("a", "b").alias("query_id_a"), F.greatest("a", "b").alias("query_id_b")).distinct()
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
