@@ -1,16 +1,21 @@
 """Same or near-same records across splits (problem 5).
 
-Evaluation strings are cut into one segment more than there can be damages (wrong characters, an added small word,
-the seam of a changed word order). A near-same training string has at least one segment undamaged, so the two meet
-on it; as words may have moved round, a segment's allowed positions are all those of the string taken as a ring.
-A second form, with the words sorted, meets strings whose words moved in other ways. Each meeting is verified by
-banded dynamic programming. Records must agree on a key as well, which is part of what they meet on.
+Evaluation strings are cut into one segment more than there can be damages, so a near-same training string holds at
+least one segment undamaged, at a position the edit bound allows. Two forms of a string are cut: the letters as
+written, which the training string holds from some word on as a ring (damages: the edits and the seam where the order
+of words was turned), and the letters of the sorted words (damages: an edited word leaves one place and enters
+another), which no change of word order alters. Strings too short for segments meet on their letters in order less up
+to two. Each meeting is verified by banded dynamic programming over the words the two don't share.
+
+Records must agree on a key as well. Rows are dealt to tasks by key, those of a hot key in slices; inside a task the
+segments are an index that the training substrings are looked up in, so substrings are never shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,14 +26,12 @@ from pyspark.sql.types import ArrayType, StringType
 from inkstone.llm.canon import DOT, canonical
 from inkstone.session import materialize, slots
 
-# Small words without meaning of their own, and particles that may be left off a word.
-SMALL_WORDS = ("좀", "대해", "관련", "그냥", "혹시", "please", "just", "about")
-PARTICLES = ("의", "은", "는", "이", "가", "을", "를", "에", "로", "와", "과", "도")
-
 EDITS = 2
-LONGEST_SMALL = max(map(len, SMALL_WORDS))
-#: Wrong characters, one seam of the word order, one added small word.
-SEGMENTS = EDITS + 3
+#: Segments of the letters as written (edits and one seam), and of the sorted words (two places an edit).
+SEGMENTS, SORTED_SEGMENTS = EDITS + 2, 2 * EDITS + 1
+#: Evaluation strings of fewer letters meet on their letters less up to ``EDITS``.
+SHORT = 12
+LONGEST_SMALL = 6
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -37,33 +40,31 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((canonical(text) or "").lower().replace(DOT, " "))
 
 
-def segments(text: str) -> list[str]:
-    """The text cut into ``SEGMENTS`` stretches of nearly equal length; [''] for texts shorter than that."""
-    if len(text) < SEGMENTS:
-        return [""]
-    base, more = divmod(len(text), SEGMENTS)
-    out, at = [], 0
-    for i in range(SEGMENTS):
-        size = base + (i >= SEGMENTS - more)
-        out.append(text[at : at + size])
-        at += size
-    return out
+def segments(text: str, count: int) -> list[tuple[int, str]]:
+    """(position, stretch) of ``count`` stretches of nearly equal length that tile the text."""
+    cuts = [len(text) * i // count for i in range(count + 1)]
+    return [(a, text[a:b]) for a, b in itertools.pairwise(cuts)]
+
 
+def segment_lengths(length: int, count: int) -> set[int]:
+    """Lengths of the segments of every text at most ``EDITS`` letters longer or shorter."""
+    near = range(max(SHORT, length - EDITS), length + EDITS + 1)
+    return {n for size in near for n in (size // count, -(-size // count))}
 
-def ring_substrings(text: str) -> set[str]:
-    """Every stretch of the ring that may be a segment of a string at most ``EDITS`` and a small word away."""
-    slack = EDITS + LONGEST_SMALL
-    out = {""} if len(text) < SEGMENTS + slack else set()
-    sizes = {n for size in range(max(SEGMENTS, len(text) - slack), len(text) + slack + 1) for n in (size // SEGMENTS, -(-size // SEGMENTS))}
-    ring = text + text
-    for n in sizes:
-        if n <= len(text):
-            out.update(ring[i : i + n] for i in range(len(text)))
+
+def fewer_letters(text: str) -> set[str]:
+    """The letters in order, less any 0 to ``EDITS`` of them: texts that few edits apart share one, however ordered."""
+    letters = "".join(sorted(text))
+    out = level = {letters}
+    for _ in range(EDITS):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out = out | level
     return out
 
 
-def banded(a: str, b: str, k: int) -> list[tuple[int, int]] | None:
-    """Positions (in a, in b) of at most ``k`` edits that turn a into b; None if it takes more."""
+def banded(a: str, b: str, k: int) -> list[tuple[int, int, bool]] | None:
+    """(position in a, in b, whether one letter stands for another) of at most ``k`` edits that turn a into b; None if
+    it takes more."""
     la, lb = len(a), len(b)
     if abs(la - lb) > k:
         return None
@@ -84,18 +85,18 @@ def banded(a: str, b: str, k: int) -> list[tuple[int, int]] | None:
         here = rows[i][j]
         if i and j and rows[i - 1].get(j - 1, far) + (a[i - 1] != b[j - 1]) == here:
             if a[i - 1] != b[j - 1]:
-                out.append((i - 1, j - 1))
+                out.append((i - 1, j - 1, True))
             i, j = i - 1, j - 1
         elif i and rows[i - 1].get(j, far) + 1 == here:
-            out.append((i - 1, min(j, lb - 1)))
+            out.append((i - 1, min(j, lb - 1), False))
             i -= 1
         else:
-            out.append((min(i, la - 1), j - 1))
+            out.append((min(i, la - 1), j - 1, False))
             j -= 1
     return out
 
 
-def _at(tokens: list[str], position: int) -> str:
+def _at(tokens: tuple[str, ...], position: int) -> str:
     for token in tokens:
         if position < len(token):
             return token
@@ -103,79 +104,148 @@ def _at(tokens: list[str], position: int) -> str:
     return tokens[-1] if tokens else ""
 
 
-def _unlike(a: list[str], b: list[str], i: int, j: int) -> tuple[str, str]:
-    """The words an edit falls in; at a word's edge, those of the likeliest correspondence."""
-    near = [(_at(a, p), _at(b, q)) for p in (i, max(i - 1, 0)) for q in (j, max(j - 1, 0))]
-    return max(near, key=lambda w: 2 * sum((Counter(w[0]) & Counter(w[1])).values()) - len(w[0]) - len(w[1]))
-
-
-def _without_small(tokens: list[str]) -> Iterator[tuple[list[str], int]]:
-    """The tokens as they are, and without one small word (whole, grown on to a neighbour, or lacking a letter)."""
-    yield tokens, 0
+def without_small(tokens: list[str], small: frozenset[str]) -> list[tuple[list[str], int]]:
+    """The tokens as they are, and without one small word (whole, grown on to a neighbour, or lacking a letter), with
+    the edits that took."""
+    out = [(tokens, 0)]
     for i, token in enumerate(tokens):
         rest = tokens[:i] + tokens[i + 1 :]
-        if token in SMALL_WORDS:
-            yield rest, 0
+        if token in small:
+            out.append((rest, 0))
             continue
-        for small in SMALL_WORDS:
-            if len(small) > 1 and len(token) > len(small) and (token.startswith(small) or token.endswith(small)):
-                left = token.removeprefix(small) if token.startswith(small) else token.removesuffix(small)
-                yield tokens[:i] + [left] + tokens[i + 1 :], 0
-            elif len(small) > 1 and abs(len(token) - len(small)) <= 1 and len(token) <= len(small) and banded(token, small, 1):
-                yield rest, 1
-
-
-def _same_orders(a: list[str], b: list[str], k: int) -> tuple[int, list[tuple[str, str]]] | None:
-    """Least edits between a and b, whose words may have moved, with the words they fall in."""
-    whole, best = "".join(a), None
-    apart = Counter(whole)
+        for s in small:
+            if len(s) > 1 and len(token) > len(s) and (token.startswith(s) or token.endswith(s)):
+                out.append((tokens[:i] + [token.removeprefix(s) if token.startswith(s) else token.removesuffix(s)] + tokens[i + 1 :], 0))
+            elif len(s) > 1 and len(s) - 1 <= len(token) <= len(s) and banded(token, s, 1):
+                out.append((rest, 1))
+    return out
+
+
+def _orders(a: list[str], b: list[str]) -> Iterator[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Orders of two lists of words to compare letter by letter: all of them for the few words two near-same texts
+    don't share, else all turns."""
+    if max(len(a), len(b)) <= 4:
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        for y in itertools.permutations(short) if len(short) <= 3 else [tuple(short)]:
+            for x in itertools.permutations(long):
+                yield (x, y) if long is a else (y, x)
+    else:
+        for i in range(max(1, len(b))):
+            yield tuple(a), tuple(b[i:] + b[:i])
+        for i in range(1, len(a)):
+            yield tuple(a[i:] + a[:i]), tuple(b)
+
+
+def _match(a: list[str], b: list[str], k: int) -> tuple[int, list[tuple[str, str]]] | None:
+    """Least edits between a and b in any order of words, with the words in which one letter stands for another; of
+    equal numbers the one with fewest such letters."""
+    apart = Counter("".join(a))
     apart.subtract("".join(b))
-    if max(sum(n for n in apart.values() if n > 0), sum(-n for n in apart.values() if n < 0)) > k:
+    more, less = sum(n for n in apart.values() if n > 0), -sum(n for n in apart.values() if n < 0)
+    if max(more, less) > k:
         return None
-    orders = [(a, b[i:] + b[:i]) for i in range(max(1, len(b)))] + [(sorted(a), sorted(b))]
-    for x, y in orders:
+    shared = Counter(a) & Counter(b)
+    rest = []
+    for tokens in (a, b):
+        left = Counter(shared)
+        rest.append([t for t in tokens if not (left[t] > 0 and not left.subtract([t]))])
+    if max(map(len, rest)) > 4:
+        rest = [a, b]  # without spaces, say: shared words may lie inside others
+    best = None
+    for x, y in _orders(*rest):
         found = banded("".join(x), "".join(y), k)
-        if found is not None and (best is None or len(found) < best[0]):
-            best = len(found), [_unlike(x, y, i, j) for i, j in found]
-            if not found:
+        if found is None:
+            continue
+        swaps = [(_at(x, i), _at(y, j)) for i, j, swapped in found if swapped]
+        if best is None or (len(found), len(swaps)) < (best[0], len(best[1])):
+            best = len(found), swaps
+            if len(found) <= max(more, less) and not swaps:
                 break
     return best
 
 
-def near_same(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
-    """The pairs of unlike words of two near-same token lists ([] if they agree); None if they aren't near-same."""
+def near_same(a: list[str], b: list[str], small: frozenset[str] = frozenset()) -> list[tuple[str, str]] | None:
+    """The pairs of words in which one letter stands for another ([] if there are none); None for texts that aren't
+    near-same: over ``EDITS`` edits apart, or edited in half of their letters or more."""
     best = None
-    for x, cost in _without_small(a):
-        for y, more in _without_small(b):
-            if len(a) - len(x) and len(b) - len(y):
+    for x, cost in without_small(a, small):
+        for y, more in without_small(b, small):
+            if cost + more > EDITS or len(x) < len(a) and len(y) < len(b):
                 continue  # one small word in all
-            found = _same_orders(x, y, EDITS - cost - more)
-            if found is not None and (best is None or found[0] + cost + more < best[0]):
-                best = found[0] + cost + more, found[1]
-                if not best[0]:
+            found = _match(x, y, EDITS - cost - more)
+            size = max(len("".join(x)), len("".join(y)))
+            if found is None or 2 * (edits := found[0] + cost + more) >= size:
+                continue
+            if best is None or (edits, len(found[1])) < (best[0], len(best[1])):
+                best = edits, found[1]
+                if not edits:
                     return []
-    return None if best is None else [(p, q) for p, q in best[1] if p != q]
-
-
-def _particle_only(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len)
-    return long[: len(short)] == short and long[len(short) :] in PARTICLES
-
-
-def _keys(ring: bool):
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for q, key, text in zip(batch["q"], batch["key"], batch["text"], strict=True):
-                tokens = words(text)
-                for form, plain in (("o", "".join(tokens)), ("s", "".join(sorted(tokens)))):
-                    rows += [(q, key, form + x) for x in (ring_substrings(plain) if ring else segments(plain))]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["q", "key", "segment"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["q", "key", "segment"])
-
-    return emit
+    return None if best is None else best[1]
+
+
+def meetings(left: list[tuple[int, list[str]]], right: list[tuple[int, list[str]]], small: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Positions (in left, in right) of texts, given as (group, words), that share a segment in one group."""
+    written: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    plain: dict[tuple, list[int]] = defaultdict(list)
+    for e, (group, tokens) in enumerate(left):
+        for variant, _ in without_small(tokens, small):
+            text = "".join(variant)
+            if len(text) < SHORT:
+                for x in fewer_letters(text):
+                    plain[group, "f", x].append(e)
+                continue
+            for at, x in segments(text, SEGMENTS):
+                written[group, x].append((e, at))
+            for _, x in segments("".join(sorted(variant)), SORTED_SEGMENTS):
+                plain[group, "s", x].append(e)
+    known = {g for g, _ in left}
+    for t, (group, tokens) in enumerate(right):
+        if group not in known:
+            continue
+        found: set[int] = set()
+        for variant, _ in without_small(tokens, small):
+            text = "".join(variant)
+            n = len(text)
+            if n < SHORT + EDITS:
+                for x in fewer_letters(text):
+                    found.update(plain.get((group, "f", x), ()))
+            if n < SHORT - EDITS:
+                continue
+            starts = list(itertools.accumulate((len(w) for w in variant), initial=0))
+            turns = {(s + d) % n for s in starts for d in range(-EDITS, EDITS + 1)}
+            ring = text + text
+            for size in segment_lengths(n, SEGMENTS):
+                for i in range(n):
+                    for e, at in written.get((group, ring[i : i + size]), ()):
+                        if (i - at) % n in turns:
+                            found.add(e)
+            ordered = "".join(sorted(variant))
+            for size in segment_lengths(n, SORTED_SEGMENTS):
+                for i in range(n - size + 1):
+                    found.update(plain.get((group, "s", ordered[i : i + size]), ()))
+        for e in found:
+            yield e, t
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def words_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(words)
+
+
+def small_words(evaluation: DataFrame, training: DataFrame, least_keys: int = 2, share: float = 0.004) -> list[str]:
+    """Words of at most ``LONGEST_SMALL`` letters that texts gain or lose without asking for anything else.
+
+    Such a word is the only difference of two records of one key under ``least_keys`` keys, and under ``share`` of the
+    keys that use it. Takes (``key``, ``w`` words) twice. What comes to the driver are these words alone.
+    """
+    both = evaluation.select("key", "w", F.lit(0).alias("side")).unionByName(training.select("key", "w", F.lit(1).alias("side")))
+    bag = both.select("key", "side", F.xxhash64("key", F.array_sort("w")).alias("h"))
+    without = lambda i: F.array_sort(F.filter("w", lambda _, j: j != i))
+    gaps = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) <= LONGEST_SMALL, F.struct(x.alias("word"), F.xxhash64("key", without(i)).alias("h")))), lambda s: s.isNotNull())
+    dropped = both.select("key", (1 - F.col("side")).alias("side"), F.inline(gaps))
+    lone = dropped.join(bag.select("h", "side").distinct(), ["h", "side"], "left_semi").groupBy("word").agg(F.countDistinct("key").alias("lone")).where(F.col("lone") >= least_keys)
+    used = both.select("key", F.explode("w").alias("word")).groupBy("word").agg(F.approx_count_distinct("key").alias("n"))
+    return sorted(r["word"] for r in lone.join(used, "word").where(F.col("lone") >= share * F.col("n")).select("word").collect())
 
 
 def known_words(asked: DataFrame, used: DataFrame, known_in: int, share: float) -> DataFrame:
@@ -193,50 +263,55 @@ def known_words(asked: DataFrame, used: DataFrame, known_in: int, share: float)
     return mine.join(commonest, "word", "left").where(F.col("n") >= share * F.coalesce("most", F.lit(0))).select("word")
 
 
-def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: int = 3, share: float = 0.02) -> DataFrame:
+def _dealt(evaluation: DataFrame, training: DataFrame, rows_per_slice: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``bucket`` and a ``part``: every two rows of one key meet in exactly one part."""
+    sizes = evaluation.groupBy("key").agg(F.count("*").alias("n")).join(training.groupBy("key").agg(F.count("*").alias("m")), "key")
+    slices = sizes.select("key", *[F.ceil(F.col(c) / rows_per_slice).cast("int").alias(c) for c in ("n", "m")])
+    out = []
+    for df, own, other in ((evaluation, "n", "m"), (training, "m", "n")):
+        mine, theirs = F.pmod(F.xxhash64("q"), F.col(own)).cast("int"), F.sequence(F.lit(0), F.col(other) - 1)
+        cut = df.join(slices, "key").withColumn("mine", mine).withColumn("theirs", F.explode(theirs))
+        part = F.xxhash64("key", *(("mine", "theirs") if own == "n" else ("theirs", "mine")))
+        out.append(cut.select("q", "key", "w", part.alias("part"), F.pmod(part, F.lit(buckets)).cast("int").alias("bucket")))
+    return out[0], out[1]
+
+
+def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, known_in: int = 3, share: float = 0.02, rows_per_slice: int = 5_000, rows_per_bucket: int = 20_000, small: list[str] | None = None) -> DataFrame:
     """(``a``, ``b``): ids of near-same records of the two splits that agree on their key.
 
-    Both take (``q`` id, ``key``, ``text``). Rows with a null id, key or text take no part; repeated rows count
-    once. Edits that turn one known word into another ask about another thing and make no pair; a word is known
-    when it occurs under at least ``known_in`` keys of all rows of both splits, and under ``share`` of those of any
-    word one edit away (``known_words``).
+    Both take (``q`` id, ``key``, ``text``). Rows with a null id, key or text, and texts without a letter or digit, take
+    no part; repeated rows count once. A letter that turns one known word into another asks about another thing and
+    makes no pair; a word is known when it occurs under at least ``known_in`` keys of all rows of both splits, and
+    under ``share`` of those of any word one edit away (``known_words``). ``small`` are words that may be added; they
+    are learned from both splits unless given (``small_words``). A task holds about ``rows_per_bucket`` rows; of a key
+    with more than ``rows_per_slice`` rows, slices of both sides meet each other.
     """
     usable = "q IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL"
-    ev = materialize(evaluation.where(usable).select("q", "key", "text").distinct(), "eval-split")
-    tr = training.where(usable).select("q", "key", "text").distinct()
-    near = materialize(tr.join(ev.select("key").distinct(), "key", "left_semi").select("q", "key", "text"), "train-split")
-    kinds = dict(ev.dtypes)
-    schema = f"q {kinds['q']}, key {kinds['key']}, segment string"
-    tasks = 2 * slots(ev.sparkSession)
-    hashed = F.xxhash64("key", "segment").alias("h")
-    a = ev.repartition(tasks).mapInPandas(_keys(False), schema).select(F.col("q").alias("a"), hashed).distinct()
-    b = near.repartition(tasks).mapInPandas(_keys(True), schema).select(F.col("q").alias("b"), hashed).distinct()
-    # Spark can't tell that each record became a hundred segments, so its size estimate must not decide for a broadcast.
-    met = a.hint("merge").join(b.hint("merge"), "h").select("a", "b").distinct()
-    left = ev.select(F.col("q").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
-    right = near.select(F.col("q").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
-    pairs = met.join(left, "a").join(right, "b").where("ka = kb").select("a", "b", "ta", "tb")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for qa, qb, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-                unlike = near_same(words(ta), words(tb))
-                if unlike is not None:
-                    unlike = [p for p in unlike if not _particle_only(*p)]
-                    rows.append((qa, qb, [x for x, _ in unlike], [y for _, y in unlike]))
-            yield pd.DataFrame(rows, columns=["a", "b", "wa", "wb"])
-
-    verified = materialize(pairs.repartition(tasks).mapInPandas(verify, f"a {kinds['q']}, b {kinds['q']}, wa array<string>, wb array<string>"), "verified")
+    ev, tr = (materialize(df.where(usable).select("q", "key", "text").distinct().select("q", "key", words_udf("text").alias("w")).where("size(w) > 0"), name) for df, name in ((evaluation, "eval-split"), (training, "train-split")))
+    near = tr.join(ev.select("key").distinct(), "key", "left_semi")
+    light = frozenset(small_words(ev, near) if small is None else small)
+    buckets = max(2 * slots(ev.sparkSession), -(-(ev.count() + near.count()) // rows_per_bucket))
+    left, right = _dealt(ev, near, rows_per_slice, buckets)
+    kind = dict(ev.dtypes)["q"]
+
+    def verify(_key: tuple, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for df in (e, t):
+            texts: dict[tuple, list] = defaultdict(list)  # texts that agree are compared once
+            for q, part, w in zip(df["q"], df["part"], df["w"], strict=True):
+                texts[part, tuple(w)].append(q)
+            sides.append([(part, list(w), ids) for (part, w), ids in texts.items()])
+        rows = []
+        for i, j in meetings([s[:2] for s in sides[0]], [s[:2] for s in sides[1]], light):
+            (_, x, a), (_, y, b) = sides[0][i], sides[1][j]
+            if (unlike := near_same(x, y, light)) is not None:
+                rows += [(p, q, [u for u, _ in unlike], [v for _, v in unlike]) for p in a for q in b]
+        return pd.DataFrame(rows, columns=["a", "b", "wa", "wb"])
+
+    verified = materialize(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(verify, f"a {kind}, b {kind}, wa array<string>, wb array<string>"), "verified")
     doubtful = verified.where(F.size("wa") > 0).select("a", "b", F.posexplode(F.arrays_zip("wa", "wb")).alias("i", "w"))
     sides = doubtful.select("a", "b", "i", F.explode(F.array("w.wa", "w.wb")).alias("word"))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(words)
-
-    asked = sides.select("word").distinct()
-    used = ev.select("key", "text").unionByName(tr.select("key", "text")).select("key", F.explode(split("text")).alias("word"))
-    known = known_words(asked, used.distinct(), known_in, share)
+    used = ev.select("key", "w").unionByName(tr.select("key", "w")).select("key", F.explode("w").alias("word"))
+    known = known_words(sides.select("word").distinct(), used.distinct(), known_in, share)
     other = sides.join(known, "word", "left_semi").groupBy("a", "b", "i").agg(F.count("*").alias("n")).where("n > 1").select("a", "b").distinct()
     return verified.join(other, ["a", "b"], "left_anti").select("a", "b").distinct()
