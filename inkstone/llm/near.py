@@ -3,13 +3,14 @@
 Records are sets of words; two belong together when the share of common words reaches a threshold. PartEnum turns
 the threshold on the share into one on the number of words that differ (for sets of a band of sizes), partitions the
 word domain in two levels and enumerates subsets of the parts: two sets that differ in few enough words agree
-completely on at least one subset, so they share that subset's signature (``min_information=None``).
-
-A signature over parts that hold only common words brings together sets at random. By default sets therefore meet in
-two other ways, which together are lossless as well. Two similar sets that share a rare word share one among the
-first of their words, rare words first (prefix filter). Two that share none must be similar by their common words
-alone: sets with enough of these are compared in blocks, each two once, by the bits in which sketches of their common
-words differ, of which there can't be more than words that differ.
+completely on at least one subset, so they share that subset's signature.
+
+A signature over parts that hold no or only common words brings together sets at random, in groups that grow with the
+collection. Signatures are therefore joined if their words tell enough apart, and the pairs that meet only on the
+others are found in an exact second way. Two similar sets that share a rare word share one among the first of their
+words, rare words first (prefix filter). Two that share none must be similar by their common words alone: sets with
+enough of these are compared in blocks, each two once, by the bits in which sketches of their common words differ, of
+which there can't be more than words that differ. So no link is lost, whatever is taken for rare or telling.
 """
 
 from __future__ import annotations
@@ -53,8 +54,9 @@ class PartEnum:
         differ = math.floor((1 - s) / (1 + s) * 2 * self.bands[band][1])
         return math.ceil((differ + 1) / (self.spare + 1))
 
-    def signatures(self, words: np.ndarray) -> np.ndarray:
-        """Distinct signatures of one set, for its own band of sizes and the next."""
+    def signatures(self, words: np.ndarray, information: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
+        """Distinct signatures of one set, for its own band of sizes and the next; with ``information`` (of each word)
+        only those whose words add up to ``least``."""
         size = len(words)
         band = next(i for i, (a, b) in enumerate(self.bands) if a <= size <= b)
         mixed = (words ^ (words >> np.uint64(29))) * self.seed
@@ -66,6 +68,9 @@ class PartEnum:
             np.add.at(sums, part, mixed)
             found = sums.reshape(first, self.second) @ self.subsets.T
             found = (found ^ self.salt) * np.uint64(0x165667B19E3779F9) + (np.arange(first, dtype=np.uint64)[:, None] * np.uint64(level * 2 + 1) + np.uint64(level << 32))
+            if information is not None:
+                told = np.bincount(part, information, first * self.second).reshape(first, self.second) @ self.subsets.T.astype("f8")
+                found = found[told >= least]
             out.append(found.ravel())
         return np.unique(np.concatenate(out)).view(np.int64)
 
@@ -84,29 +89,6 @@ def word_sets(df: DataFrame, key: str, texts: list[str], least_words: int) -> Da
     return one.select("k", "words", F.size("words").alias("n"))
 
 
-def _by_signatures(unique: DataFrame, similarity: float) -> DataFrame:
-    """(``a``, ``b``) of sets that share a PartEnum signature."""
-    enum = PartEnum(similarity)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, found = [], []
-            for k, words in zip(batch["k"], batch["words"], strict=True):
-                s = enum.signatures(np.asarray(words, "i8").view(np.uint64))
-                keys.append(np.full(len(s), k))
-                found.append(s)
-                if sum(map(len, found)) > 200_000:
-                    yield pd.DataFrame({"k": np.concatenate(keys), "sig": np.concatenate(found)})
-                    keys, found = [], []
-            if found:
-                yield pd.DataFrame({"k": np.concatenate(keys), "sig": np.concatenate(found)})
-
-    kind = dict(unique.dtypes)["k"]
-    spread = unique.select("k", "words").repartition(4 * slots(unique.sparkSession), "k")
-    signed = materialize(spread.mapInPandas(sign, f"k {kind}, sig bigint"), "signatures")
-    return pairs_within(signed, ["sig"], "k").select("a", "b")
-
-
 #: 64-bit numbers of a sketch; those compared for every two sets, before the rest is for the pairs left.
 SKETCH, FIRST = 8, 4
 
@@ -131,28 +113,32 @@ def close_sketches(left: np.ndarray, right: np.ndarray, spare_left: np.ndarray,
         yield at + i[kept], j[kept]
 
 
-def _by_words(unique: DataFrame, similarity: float, share: float, rows_per_block: int) -> DataFrame:
-    """(``a``, ``b``) of sets that share a rare word, or whose common words (in more than ``share`` of all) may be enough."""
+def _candidates(unique: DataFrame, similarity: float, rare: float, telling: float, rows_per_block: int) -> DataFrame:
+    """(``a``, ``b``) of sets that share a telling signature or a rare word, or whose common words may be enough."""
     total = unique.count()
-    counts = unique.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > total * share)
-    known = np.sort(counts.select("w").toPandas()["w"].to_numpy("i8"))
-    differ = (1 - similarity) / (1 + similarity)
+    counts = unique.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > total * rare).toPandas().sort_values("w")
+    known, weight = counts["w"].to_numpy("i8"), np.log(total / counts["df"].to_numpy("f8"))
+    differ, least_told, enum = (1 - similarity) / (1 + similarity), math.log(max(1, total)) + telling, PartEnum(similarity)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, words in zip(batch["k"], batch["words"], strict=True):
                 w = np.asarray(words, "i8")
-                common = np.isin(w, known, assume_unique=True)
-                least, rare = math.ceil(similarity * len(w) - 1e-9), w[~common]
-                enough = len(w) - len(rare) >= least
-                out.append((k, len(w), rare[: len(w) - least + 1], sketch(w[common]) if enough else None, len(w) * differ - len(rare)))
-            yield pd.DataFrame(out, columns=["k", "n", "rare", "sketch", "spare"])
+                at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+                common = known[at] == w if len(known) else np.zeros(len(w), bool)
+                told = np.full(len(w), -math.log(rare))  # at least
+                told[common] = weight[at[common]]
+                least, seldom = math.ceil(similarity * len(w) - 1e-9), w[~common]
+                met = np.concatenate([enum.signatures(w.view(np.uint64), told, least_told), seldom[: len(w) - least + 1]])
+                enough = len(w) - len(seldom) >= least
+                out.append((k, len(w), met, sketch(w[common]) if enough else None, len(w) * differ - len(seldom)))
+            yield pd.DataFrame(out, columns=["k", "n", "met", "sketch", "spare"])
 
     kind = dict(unique.dtypes)["k"]
     spread = unique.select("k", "words").repartition(4 * slots(unique.sparkSession), "k")
-    parted = materialize(spread.mapInPandas(part, f"k {kind}, n int, rare array<bigint>, sketch binary, spare double"), "parted")
-    sharing = pairs_within(parted.select("k", F.explode("rare").alias("w")), ["w"], "k").select("a", "b")
+    parted = materialize(spread.mapInPandas(part, f"k {kind}, n int, met array<bigint>, sketch binary, spare double"), "parted")
+    sharing = pairs_within(parted.select("k", F.explode("met").alias("w")), ["w"], "k").select("a", "b")
 
     ranges = bands(similarity)
     band = sum((F.when(F.col("n") > high, 1).otherwise(0) for _, high in ranges), F.lit(0)).cast("int")
@@ -176,21 +162,20 @@ def _by_words(unique: DataFrame, similarity: float, share: float, rows_per_block
     return sharing.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def similar_sets(sets: DataFrame, similarity: float = 0.8, min_information: float | None = 0.0, rare: float = 1 / 2000, rows_per_block: int = 4_000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(sets: DataFrame, similarity: float = 0.8, telling: float = 3.0, rare: float = 1 / 2000, rows_per_block: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """Links between representatives of equal sets, and membership.
 
     Takes (``k``, ``words``, ``n``). Result: (``a``, ``b``, ``similarity``) with ``a < b``, and (``k``, ``rep``) where
-    ``rep`` is the least key with the same words. A word is common when more than ``rare`` of the sets have it, or with
-    ``min_information`` when it carries less than that many nats above the logarithm of 1 / ``rare``; the links are the
-    same for any value, and for None, which takes PartEnum. Only common words are sent to the workers, of which there
-    are at most (mean set size) / ``rare``.
+    ``rep`` is the least key with the same words. A word is common when more than ``rare`` of the sets have it; a
+    signature is joined when its words carry ``telling`` nats more than the logarithm of the number of sets. The links
+    are the same for any value of both. Only common words are sent to the workers, of which there are at most (mean set
+    size) / ``rare``.
     """
     keyed = materialize(sets.select("k", "words", "n").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")}), "word-sets")
     reps = keyed.groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
     members = keyed.select("k", "h1", "h2").join(reps, ["h1", "h2"]).select("k", "rep")
     unique = materialize(keyed.join(reps.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "words", "n"), "unique-sets")
-    met = _by_signatures(unique, similarity) if min_information is None else _by_words(unique, similarity, rare * math.exp(-min_information), rows_per_block)
-    candidates = met.distinct()
+    candidates = _candidates(unique, similarity, rare, telling, rows_per_block).distinct()
     left = unique.select(F.col("k").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
     right = unique.select(F.col("k").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb"))
     sized = candidates.join(left, "a").join(right, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
