@@ -136,7 +136,8 @@ class Search:
 
 
 def _nothing(*columns: str) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([], dtype="f4" if c in ("cosine", "reach") else object) for c in columns})
+    kinds = {"cosine": "f4", "reach": "f4", "shard": "i4"}
+    return pd.DataFrame({c: pd.Series([], dtype=kinds.get(c, object)) for c in columns})
 
 
 def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
@@ -166,20 +167,33 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dimension: int) -> Data
     return rows.mapInPandas(_unit_vectors(dimension), f"id {dict(df.dtypes)[key]}, vec binary")
 
 
-def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64, max_sample: int = 200_000) -> DataFrame:
+def _sliced(df: DataFrame, shard: str, counts: dict[int, int], name: str, spread: bool) -> DataFrame:
+    """Adds the slice ``name`` of each row's shard, of which there are ``counts`` (1 where not given): one by the row's
+    hash, or with ``spread`` all of them, a row each."""
+    if max(counts.values(), default=1) == 1:
+        return df.withColumn(name, F.lit(0))
+    sizes = df.sparkSession.createDataFrame([(int(s), int(n)) for s, n in counts.items() if n > 1], f"{shard} int, _slices int")
+    n = F.coalesce("_slices", F.lit(1))
+    slices = F.explode(F.sequence(F.lit(0), n - 1)) if spread else F.pmod(F.xxhash64("id", F.lit(name)), n).cast("int")
+    return df.join(sizes, shard, "left").withColumn(name, slices).drop("_slices")
+
+
+def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64, max_sample: int = 200_000, queries_per_task: int = 20_000) -> DataFrame:
     """(``q``, ``n``, ``cosine``): up to ``k`` most similar other vectors of each, none under ``min_cosine``.
 
     Takes (``id``, ``vec``) and, where only some are asked for, the queries' ``id``. Equal cosines go by the smaller id.
     Keys with the very same vector are searched once and expanded; of such a group each member sees the others with
-    the least ids. The routing tree is made from ``sample_per_shard`` vectors per shard, at most
-    ``max_sample`` in all, which also bounds the number of shards: beyond it shards grow instead.
+    the least ids. The routing tree is made from ``sample_per_shard`` vectors per shard, at most ``max_sample`` in all.
+    A shard of over four times ``rows_per_shard``, as there are where that bound holds or space can't be divided, is cut
+    into slices with a tree each, all of which its queries search; queries of a shard come in slices of
+    ``queries_per_task``. So a task's work is bounded at any size, and a shard is copied once a slice of its queries.
     """
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)["id"]
     all_rows = materialize(vectors.select("id", "vec").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
+    # Of keys with the same vector the least k + 1 are kept; each task cuts its own part of a group to that first.
     first = Window.partitionBy("h1", "h2").orderBy("id")
-    ranked = all_rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    listed = materialize(ranked.select("id", "vec", "h1", "h2", "r"), "same-vectors")
+    listed = materialize(all_rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("id", F.when(F.col("r") == 1, F.col("vec")).alias("vec"), "h1", "h2", "r"), "same-vectors")
     unique = listed.where("r = 1").select("id", "vec")
     heads = listed.where("r = 1").select("h1", "h2", F.col("id").alias("rep"))
     listed_ids = listed.select("id", "h1", "h2").join(heads, ["h1", "h2"]).select("id", "rep")
@@ -190,9 +204,9 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     most = min(max_sample, sample_per_shard * 2**depth)
     share = min(1.0, 1.5 * most / max(1, total))
     h = F.xxhash64(F.lit(2), "vec")
-    picked = unique.where(h <= hash_limit(share)).select("vec", h.alias("h")).orderBy("h").limit(most).collect() if total else []
+    picked = unique.where(h <= hash_limit(share)).select("vec", h.alias("h")).orderBy("h").limit(most).collect() if total and depth else []
     sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in picked), "f4").reshape(-1, dimension)
-    tree, shards = routing_tree(sample, depth)
+    tree, _ = routing_tree(sample, depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,7 +218,10 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
 
     placed = materialize(unique.mapInPandas(place, f"id {id_type}, vec binary, shard int"), "shards")
     asked = placed if queries is None else placed.join(membership.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    result = f"q {id_type}, n {id_type}, cosine float, reach float"
+    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    cuts = {s: math.ceil(n / (4 * rows_per_shard)) for s, n in sizes.items()}
+    rounds = {s: math.ceil(n / max(queries_per_task, 4 * rows_per_shard)) for s, n in sizes.items()}
+    at = ["shard", "part", "turn"]
 
     def results(ids: np.ndarray, names: np.ndarray, s: Search) -> pd.DataFrame:
         q, j = np.nonzero((s.found >= 0) & (s.score > -1.5))
@@ -212,31 +229,50 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
 
     def own_shard(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right) or not len(left):
-            return _nothing("q", "n", "cosine", "reach")
+            return _nothing("q", "n", "cosine", "reach", "vec", "shard")
         points, ids = _matrix(left["vec"], dimension), left["id"].to_numpy()
-        asked_ids = right["q"].to_numpy()
+        asked_ids = right["id"].to_numpy()
         position = pd.Series(np.arange(len(ids)), index=ids).reindex(asked_ids).to_numpy()
-        s = Search(points, points[position], k, np.full(len(position), min_cosine), relax, position)
-        s.walk(build(points, np.arange(len(points)), LEAF, np.random.default_rng(11)), np.arange(len(position)))
+        inside = ~np.isnan(position)  # the others lie in another slice of the shard
+        own = np.where(inside, position, -1).astype("i8")
+        wanted = points[own] if inside.all() else _matrix(right["vec"], dimension)
+        s = Search(points, wanted, k, np.full(len(own), min_cosine), relax, own)
+        s.walk(build(points, np.arange(len(points)), LEAF, np.random.default_rng(11)), np.arange(len(own)))
         out = results(asked_ids, ids, s)
-        reach = pd.DataFrame({"q": asked_ids, "n": asked_ids, "cosine": np.float32(2), "reach": s.bound(np.arange(len(position)))})
-        return pd.concat([out.assign(reach=np.float32(np.nan)), reach], ignore_index=True)
-
-    first_pass = materialize(placed.groupBy("shard").cogroup(asked.select(F.col("id").alias("q"), F.col("shard").alias("home")).groupBy("home")).applyInPandas(own_shard, result), "own-shard")
+        reach = pd.DataFrame({"q": asked_ids, "n": asked_ids, "cosine": np.float32(2), "reach": s.bound(np.arange(len(own))), "vec": [x.tobytes() for x in wanted], "shard": right["shard"].to_numpy("i4")})
+        return pd.concat([out.assign(reach=np.float32(np.nan), vec=None, shard=np.int32(-1)), reach], ignore_index=True)
+
+    data = _sliced(_sliced(placed, "shard", cuts, "part", False), "shard", rounds, "turn", True)
+    # Where shards aren't cut a query's vector is among the points; only its id is sent.
+    plain = max(cuts.values(), default=1) == 1
+    own = asked.select("id", F.lit(None).cast("binary").alias("vec") if plain else F.col("vec"), "shard")
+    own = _sliced(_sliced(own, "shard", cuts, "part", True), "shard", rounds, "turn", False)
+    own = own.select(*[F.col(c).alias(c) for c in ("id", "vec", *at)])  # columns of its own, though both sides are one table
+    first_pass = materialize(data.groupBy(*at).cogroup(own.groupBy(*at)).applyInPandas(own_shard, f"q {id_type}, n {id_type}, cosine float, reach float, vec binary, shard int"), "own-shard")
     found = first_pass.where("cosine < 2").select("q", "n", "cosine")
-    if shards > 1:
-        todo = asked.select("id", "vec", "shard").join(first_pass.where("cosine = 2").select(F.col("q").alias("id"), "reach"), "id")
+    if len(sizes) > 1:
+        todo = first_pass.where("cosine = 2").select(F.col("q").alias("id"), "vec", "shard", "reach")
+        if not plain:
+            todo = todo.groupBy("id").agg(F.first("vec").alias("vec"), F.first("shard").alias("shard"), F.max("reach").alias("reach"))
+
+        def reached(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, int]]:
+            m, own = _matrix(batch["vec"], dimension), batch["shard"].to_numpy()
+            r = relax * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * batch["reach"].to_numpy()))
+            for rows, s in route(tree, m, r):
+                yield rows[own[rows] != s], s
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals: dict[int, int] = {}
+            for batch in batches:
+                for rows, s in reached(batch):
+                    totals[s] = totals.get(s, 0) + len(rows)
+            yield pd.DataFrame({"shard": np.array(list(totals), "i4"), "n": np.array(list(totals.values()), "i8")})
 
         def reach_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                m, own = _matrix(batch["vec"], dimension), batch["shard"].to_numpy()
-                r = relax * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * batch["reach"].to_numpy()))
-                for rows, s in route(tree, m, r):
-                    rows = rows[own[rows] != s]
-                    for at in range(0, len(rows), 5_000):
-                        yield batch.iloc[rows[at : at + 5_000]].assign(shard=np.int32(s))[["id", "vec", "reach", "shard"]]
-
-        slices = max(1, math.ceil(total / shards / 20_000)) * max(1, shards // 16)
+                for rows, s in reached(batch):
+                    for a in range(0, len(rows), 5_000):
+                        yield batch.iloc[rows[a : a + 5_000]].assign(shard=np.int32(s))[["id", "vec", "reach", "shard"]]
 
         def other_shard(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -246,9 +282,12 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
             s.walk(build(points, np.arange(len(points)), LEAF, np.random.default_rng(11)), np.arange(len(right)))
             return results(right["id"].to_numpy(), left["id"].to_numpy(), s)
 
-        routed = todo.select("id", "vec", "shard", "reach").mapInPandas(reach_out, f"id {id_type}, vec binary, reach float, shard int").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-        copies = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        more = copies.groupBy("shard", "slice").cogroup(routed.groupBy("shard", "slice")).applyInPandas(other_shard, f"q {id_type}, n {id_type}, cosine float")
+        loads = {r["shard"]: r["n"] for r in todo.mapInPandas(count, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        rounds = {s: math.ceil(n / queries_per_task) for s, n in loads.items() if n}
+        routed = todo.mapInPandas(reach_out, f"id {id_type}, vec binary, reach float, shard int")
+        routed = _sliced(_sliced(routed, "shard", cuts, "part", True), "shard", rounds, "turn", False)
+        data = _sliced(_sliced(placed, "shard", cuts, "part", False), "shard", rounds, "turn", True)
+        more = data.groupBy(*at).cogroup(routed.groupBy(*at)).applyInPandas(other_shard, f"q {id_type}, n {id_type}, cosine float")
         found = found.unionByName(more)
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "n")
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select(F.col("q").alias("rep"), F.col("n").alias("other"), "cosine")

@@ -121,8 +121,11 @@ def test_partenum_is_lossless_and_groups_are_right(spark):
     rows = [(k, " ".join(v[:20]), " ".join(v[20:])) for k, v in texts.items()] + [(900, None, None), (901, "", "짧음"), (None, " ".join(texts[0]), "")]
     df = spark.createDataFrame([*rows, rows[0]], "id bigint, s string, t string").withColumns({"k": F.lit("x"), "sig": F.lit(1), "words": F.lit(2)})
     want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(set(texts[a]) & set(texts[b])) / len(set(texts[a]) | set(texts[b])) >= 0.6}
-    for least in (None, 0.0):
-        links, members = near.similar_sets(near.word_sets(df, "id", ["s", "t"], 40), 0.6, min_information=least)
+    enum = near.PartEnum(0.6)
+    signed = {k: set(enum.signatures(np.array([hash(w) for w in sorted(set(v))], "i8").view(np.uint64)).tolist()) for k, v in texts.items()}
+    assert all(signed[a] & signed[b] for a, b in want)
+    for telling in (-1000.0, 3.0, 1000.0):
+        links, members = near.similar_sets(near.word_sets(df, "id", ["s", "t"], 40), 0.6, telling=telling)
         assert {tuple(r) for r in near.similar_pairs(links, members).distinct().collect()} == want
     groups = {r["k"]: (r["group_id"], r["links"]) for r in near.near_groups(links, members).collect()}
     assert set(groups) == set(texts) and groups[500] == groups[0]
@@ -186,6 +189,9 @@ def test_neighbours_over_a_least_cosine_and_of_few(spark):
     vectors = neighbours.usable_vectors(df, "id", "e", 16)
     near_ones = neighbours.nearest(vectors, 16, 5, min_cosine=0.99, rows_per_shard=64).collect()
     assert {(r["q"], r["n"]) for r in near_ones} == {(0, 1), (1, 0)}
+    # Shards that can't be divided, and many queries of one shard: slices find the same.
+    whole, cut = ({(r["q"], r["n"]) for r in neighbours.nearest(vectors, 16, 5, max_sample=n, rows_per_shard=m, queries_per_task=t).collect()} for n, m, t in ((200_000, 300, 20_000), (16, 16, 32)))
+    assert whole == cut
     asked = neighbours.nearest(vectors, 16, 2, queries=df.where("id < 3").select("id"), rows_per_shard=64)
     assert sorted({r["q"] for r in asked.collect()}) == [0, 1, 2] and asked.count() == 6
     assert neighbours.nearest(vectors.limit(0), 16).count() == 0
