@@ -12,6 +12,8 @@ order, disjoint from all others'; within a shard they are shuffled by hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,10 @@ from inkstone.session import materialize
 
 
 RECORDS_PER_SHARD = 500_000
+#: Populations from which numpy draws hypergeometric numbers by itself.
+NUMPY_LIMIT = 10**9
+#: Records of a source that a running sum or rank is taken over in one task.
+RECORDS_PER_BLOCK = 50_000
 
 
 def allocate(capacity: dict[str, float], target: dict[str, float], budget: float) -> dict[str, float]:
@@ -59,22 +65,30 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int = 17) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, have: np.ndarray, draws: int) -> np.ndarray:
-    """One draw source by source; above numpy's limit of 10^9 the normal limit law stands in, within exact bounds."""
+    """One exact draw, source by source."""
     out, rest = np.zeros_like(have), int(have.sum())
     for i, n in enumerate(have.tolist()):
         rest -= n
         if draws and n:
-            low, high = max(0, draws - rest), min(n, draws)
-            if n < 10**9 and rest < 10**9:
-                out[i] = rng.hypergeometric(n, rest, draws)
-            else:
-                p, total = draws / (n + rest), n + rest
-                spread = (n * p * (1 - p) * rest / max(1, total - 1)) ** 0.5
-                out[i] = min(high, max(low, round(n * p + spread * rng.standard_normal())))
+            out[i] = rng.hypergeometric(n, rest, draws) if n + rest < NUMPY_LIMIT else _large_hypergeometric(rng, n, rest, draws)
             draws -= int(out[i])
     return out
 
 
+def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric draw of any size by inversion. Probabilities are built from their ratios, outwards from the mode;
+    the window leaves out less than one uniform 64-bit number can tell (12 deviations to each side)."""
+    total, mode = good + bad, (draws + 1) * (good + 1) // (good + bad + 2)
+    deviation = math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1)))
+    reach = math.ceil(12 * deviation) + 12
+    low, high = max(0, draws - bad, mode - reach), min(good, draws, mode + reach)
+    k = np.arange(low, high, dtype="f8")
+    ratios = np.log((good - k) / (k + 1)) + np.log((draws - k) / (bad - draws + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    run = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(run, rng.random() * run[-1], side="right"))
+
+
 def plain_source(column: str | Column) -> Column:
     """Sources in one spelling: trimmed, lower case; blank as null."""
     c = F.col(column) if isinstance(column, str) else column
@@ -100,7 +114,7 @@ def _prefix(sized: DataFrame, rest: dict[str, float], blocks: int) -> DataFrame:
     return rows.join(whole, ["source", "block"], "left_semi").select("source", "id", "tokens", "h").unionByName(partial)
 
 
-def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int | None = None, budget: float | str | None = None, seed: int = 17, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
+def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int | None = None, budget: float | str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Takes (``id``, ``source``, ``tokens``) with unique ids and sources spelt as in ``targets`` (source, share, most
@@ -120,6 +134,8 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], shards: int
     rows = materialize(sized.select("id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("h", order), "sized")
     have = {r["source"]: (r["n"], r["t"] or 0) for r in rows.where(F.col("source").isin(names)).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     total = {s: have.get(s, (0, 0))[1] for s in names}
+    # Hash blocks of a source, as a power of two, from the largest source with all its copies.
+    blocks = max(4, math.ceil(math.log2(max(1, *(have.get(s, (0, 0))[0] * repeats[s] for s in names)) / RECORDS_PER_BLOCK + 1)))
     if budget == "exact":
         budget = min((total[s] * repeats[s] / share[s] for s in names if total[s] and share[s] > 0), default=0.0)
         budget *= sum(share[s] for s in names if total[s])

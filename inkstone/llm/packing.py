@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.session import materialize, slots
+from inkstone.session import materialize
 
 BIN = "shard int, bin string, used int, done boolean, members array<struct<item:string,room:int>>"
 
@@ -59,18 +59,17 @@ def _round(step: int, capacity: int, floor: int):
     return one
 
 
-def pack(items: DataFrame, capacity: int, full: float = 0.995, items_per_task: int = 100_000, fan_in: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int, full: float = 0.995, items_per_task: int = 25_000, fan_in: int = 8) -> DataFrame:
     """(``container_id``, ``item``, ``room``, ``fill``) of items (``item`` string, ``room`` int in 1..capacity).
 
     ``fill`` is the room used of the container. Items outside that range are an error, as they belong in no
-    container. The result doesn't depend on the order of rows; no task gets more than a bounded number of items,
-    as the number of partitions of a round follows the number of items left.
+    container. The result depends neither on the order of rows nor on the cluster; no task gets more than a bounded
+    number of items, as the number of partitions of a round follows the number of items left alone.
     """
-    spark = items.sparkSession
     total = items.count()
     if items.where((F.col("room") < 1) | (F.col("room") > capacity) | F.col("room").isNull()).count():
         raise ValueError(f"an item's room must lie in 1..{capacity}")
-    shards = max(1, min(4 * slots(spark), total // 2_000) if total < items_per_task * slots(spark) else math.ceil(total / items_per_task))
+    shards = max(1, math.ceil(total / items_per_task))
     left = items.select(F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard"), F.col("item").alias("bin"), F.col("room").alias("used"), F.array(F.struct(F.col("item"), F.col("room"))).alias("members"))
     done, step = [], 0
     while True:

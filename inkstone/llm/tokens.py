@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import os
-import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -18,7 +19,6 @@ VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PART = StructType([StructField("part_no", IntegerType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), StructField("tokens", IntegerType())])
-_BREAK = re.compile(r"\n+|(?<=[.!?。！？])\s*|\s+")
 
 
 @lru_cache(maxsize=2)
@@ -45,31 +45,55 @@ def token_count(column: str | Column, path: str = VOCABULARY) -> Column:
     return counted(F.col(column) if isinstance(column, str) else column)
 
 
+@lru_cache(maxsize=100_000)
+def _piece_tokens(piece: str, path: str) -> int:
+    return len(encoder(path).encode_ordinary(piece))
+
+
+def _pieces(text: str, path: str, capacity: int) -> tuple[list[int], list[int]]:
+    """Ends of the stretches that are tokenised each on its own, and the running sum of their tokens.
+
+    A stretch over the capacity is cut where its tokens end; the tokens of a cut stretch are counted anew, as merges may
+    fall otherwise.
+    """
+    ends, sums = [0], [0]
+    for m in regex.finditer(PATTERN, text):
+        at, end = m.span()
+        while (n := _piece_tokens(text[at:end], path) if end - at < 64 else count(text[at:end], path)) > capacity:
+            low, high = at + 1, end  # the longest start that fits, by halving; only for words over the capacity
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if count(text[at:middle], path) <= capacity else (low, middle)
+            ends.append(low)
+            sums.append(sums[-1] + count(text[at:low], path))
+            at = low
+        ends.append(end)
+        sums.append(sums[-1] + n)
+    return ends, sums
+
+
 def parts(text: str | None, capacity: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
-    """(part_no, start, end, tokens): the whole text where it fits, else parts that tile it, cut at line ends,
-    sentence ends or spaces where there are any, each at most ``capacity`` tokens on its own."""
+    """(part_no, start, end, tokens): the whole text where it fits, else parts that tile it, cut at line ends, sentence
+    ends or spaces where there are any, each at most ``capacity`` tokens on its own.
+
+    The text is tokenised once: cuts fall between stretches that the tokenizer takes on their own, so the tokens of a
+    part are a difference of sums.
+    """
     total = count(text, path)
     if not text or total <= capacity:
         return [(0, 0, len(text or ""), total)]
-    out, start, encode = [], 0, encoder(path).encode_ordinary
-    while start < len(text):
-        # A guess from the density so far, then the largest stretch that fits by halving.
-        low, high = start + 1, min(len(text), start + capacity * 8)
-        if len(encode(text[start:high])) > capacity:
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if len(encode(text[start:middle])) <= capacity else (low, middle)
-            high = low
-        if high < len(text):
-            tail = max(start + 1, high - max(1, (high - start) // 20))  # a natural break costs at most a twentieth
-            breaks = [m.end() for m in _BREAK.finditer(text, tail, high) if start < m.end() <= high]
-            lines = [b for b in breaks if text[b - 1] == "\n"]
-            if breaks:
-                high = (lines or breaks)[-1]
-            while len(encode(text[start:high])) > capacity:
-                high -= 1
-        out.append((len(out), start, high, len(encode(text[start:high]))))
-        start = high
+    ends, sums = _pieces(text, path, capacity)
+    out, i = [], 0
+    while i < len(ends) - 1:
+        j = bisect_right(sums, sums[i] + capacity) - 1
+        if j < len(ends) - 1:
+            tail = max(i + 1, j - max(1, (j - i) // 20))  # a natural break costs at most a twentieth
+            near = range(j, tail - 1, -1)
+            line = next((b for b in near if text[ends[b] - 1] == "\n"), None)
+            space = next((b for b in near if text[ends[b] - 1] in ".!?。！？" or text[ends[b]].isspace() or text[ends[b] - 1].isspace()), None)
+            j = line or space or j
+        out.append((len(out), ends[i], ends[j], sums[j] - sums[i]))
+        i = j
     return out
 
 

@@ -252,6 +252,17 @@ def test_quotas_are_exact():
     assert (big.sum(axis=0) == [5 * 10**9, 10**9]).all()
 
 
+def test_large_draws_follow_the_same_law():
+    rng = np.random.default_rng(5)
+    for good, bad, draws in ((40, 60, 30), (5, 3, 6), (3, 100, 50), (1000, 1, 500)):
+        mine = np.array([mixing._large_hypergeometric(rng, good, bad, draws) for _ in range(20_000)])
+        theirs = rng.hypergeometric(good, bad, draws, 20_000)
+        assert mine.min() >= max(0, draws - bad) and mine.max() <= min(good, draws)
+        assert abs(np.bincount(mine, minlength=101) - np.bincount(theirs, minlength=101)).max() < 600
+    n = [mixing._large_hypergeometric(rng, 3 * 10**9, 10**9, 10**9) for _ in range(40)]
+    assert abs(np.mean(n) - 0.75 * 10**9) < 10_000 and 5_000 < np.std(n) < 20_000 and len(set(n)) > 35
+
+
 def test_mixture_shares_repeats_and_shards(spark):
     rng = random.Random(8)
     rows = [(i, "big", rng.randint(1, 40)) for i in range(2000)] + [(5000 + i, "small", rng.randint(1, 40)) for i in range(50)] + [(9000, None, 5), (9001, "other", 5), (9002, "big", None)]
