@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkstone.llm import abuse, canon, mixing, near, neighbours, oracles, overlap, packing, sentences, splitting, tokens
 from inkstone.session import materialize, table
 
+WHITE = r"[\n\t\x0B\f\r \x1C-\x1F\x85\p{Z}]"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,6 +29,13 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("origin", "item_id", "section", "section_no", "piece_no", "start_char", "end_char", "overlap_chars", "text")
 
 
+def p1_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Signs other than white space in the pieces of each oversized section, repeats aside, and whether all pieces fit."""
+    t = _pieces(spark, d)
+    signs = F.length(F.regexp_replace(F.substring(F.col("text"), F.col("overlap_chars") + 1, F.length("text")), WHITE + "+", ""))
+    return t.groupBy("origin", "item_id", "section").agg(F.sum(signs).alias("signs"), (F.max(F.length("text")) <= 200).alias("fits"))
+
+
 # Problem 3
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = canon.look_alikes(table(spark, d, "notices_capability_gate"), "notice_num", ["subject", "proposal_reason"])
@@ -130,6 +138,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("fill").alias("tokens"), F.ceil(F.sum("fill") / CAPACITY).alias("least_containers"), F.round(F.sum("fill") / (F.count("*") * CAPACITY), 6).alias("used_share"))
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document in its parts, whether these tile the text, and whether their containers hold."""
+    t = p8_containers(spark, d).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("chars"), F.max("end_char").alias("last"), F.count("*").alias("n"), F.countDistinct("part_no").alias("parts"), F.max("container_tokens").alias("fill"))
+    return t.select("doc_id", "chars", ((F.col("last") == F.col("chars")) & (F.col("n") == F.col("parts"))).alias("whole"), (F.col("fill") <= CAPACITY).alias("fits"))
+
+
 # Problem 9
 def _mixture(spark: SparkSession, d: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), mixing.plain_source("source").alias("source"), tokens.token_count("text").alias("tokens"))
@@ -150,6 +164,14 @@ def p9_exact_mixture_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d, "exact")[1]
 
 
+def p9_use(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each source with a target, and how many of them the mixture holds more often than it may."""
+    docs = table(spark, d, "documents").select("doc_id", mixing.plain_source("source").alias("source"))
+    used = _mixture(spark, d)[0].groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("times"))
+    by = table(spark, d, "source_targets").join(docs.join(used, "doc_id", "left"), "source", "left").groupBy("source")
+    return by.agg(F.count("doc_id").alias("records"), F.count_if(F.col("times") > F.col("max_repeats")).alias("used_too_often"))
+
+
 # Problem 10
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
@@ -174,6 +196,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_tiles": p1_tiles,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,
@@ -186,9 +209,11 @@ QUERIES: dict[str, Query] = {
     "p7_neighbours": p7_neighbours,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_cover": p8_cover,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p9_exact_mixture_shares": p9_exact_mixture_shares,
+    "p9_use": p9_use,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
