@@ -169,13 +169,14 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dimension: int) -> Data
 
 def _sliced(df: DataFrame, shard: str, counts: dict[int, int], name: str, spread: bool) -> DataFrame:
     """Adds the slice ``name`` of each row's shard, of which there are ``counts`` (1 where not given): one by the row's
-    hash, or with ``spread`` all of them, a row each."""
+    hash, or with ``spread`` all of them, a row each. Counts are broadcast: there are no more than shards, which
+    ``max_sample`` bounds."""
     if max(counts.values(), default=1) == 1:
         return df.withColumn(name, F.lit(0))
     sizes = df.sparkSession.createDataFrame([(int(s), int(n)) for s, n in counts.items() if n > 1], f"{shard} int, _slices int")
     n = F.coalesce("_slices", F.lit(1))
     slices = F.explode(F.sequence(F.lit(0), n - 1)) if spread else F.pmod(F.xxhash64("id", F.lit(name)), n).cast("int")
-    return df.join(sizes, shard, "left").withColumn(name, slices).drop("_slices")
+    return df.join(F.broadcast(sizes), shard, "left").withColumn(name, slices).drop("_slices")
 
 
 def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64, max_sample: int = 200_000, queries_per_task: int = 20_000) -> DataFrame:
