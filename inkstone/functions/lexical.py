@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from inkstone.config import KOREAN, DomainPack
+from inkstone.functions import text as T
 
 EXPANSION = StructType([StructField("text", StringType()), StructField("matched", ArrayType(StringType()))])
 
@@ -66,6 +67,22 @@ def content_tokens(column: str | Column, stop: Iterable[str] = KOREAN.stop_token
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(*stop)) if (stop := list(stop)) else found)
 
 
+def lexical_tokens(column: str | Column, pack: DomainPack = KOREAN) -> Column:
+    """Content tokens of a text that is cleaned first and has its aliases replaced then; null gives none."""
+    return content_tokens(expand(T.clean_text(column), pack)["text"], pack.stop_tokens)
+
+
+def prepared_query(column: str | Column, pack: DomainPack = KOREAN) -> Column:
+    """What of a query is embedded: aliases are replaced first, the text is cleaned then."""
+    return T.clean_text(expand(column, pack)["text"])
+
+
+def chunk_tokens(subject: str | Column, text: str | Column, pack: DomainPack = KOREAN) -> Column:
+    """Tokens of a chunk with its title."""
+    s, t = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (subject, text))
+    return lexical_tokens(F.concat(s, F.lit("\n"), t), pack)
+
+
 def overlap_count(query: str | Column, document: str | Column) -> Column:
     """Query tokens that hold, or are held by, a document token."""
     q, d = (F.col(x) if isinstance(x, str) else x for x in (query, document))

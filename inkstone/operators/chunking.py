@@ -19,25 +19,35 @@ from inkstone.config import Settings
 from inkstone.functions import text as T
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+SECTION = StructType([StructField("section", StringType()), StructField("lines", ArrayType(StringType()))])
 BODY = StructType([StructField("section", StringType()), StructField("text", StringType())])
 
 
-def sections_of(column: str | Column) -> Column:
-    """array<struct(section, lines)> of a cleaned text: a heading opens a section, text before the first is ``body``.
+def labelled_lines(column: str | Column) -> Column:
+    """array<struct(label, line)> of a cleaned text: a heading line has its label, and what follows it as line."""
+    return F.transform(T.paragraphs(column), lambda p: F.struct(T.header_label(p).alias("label"), F.when(T.header_label(p) != "", T.header_tail(p)).otherwise(p).alias("line")))
 
-    Built by one fold over the lines; sections without lines are dropped, repeated labels stay apart.
-    """
-    lines = F.transform(T.paragraphs(column), lambda p: F.struct(T.header_label(p).alias("label"), F.when(T.header_label(p) != "", T.header_tail(p)).otherwise(p).alias("line")))
-    kind = "array<struct<section:string,lines:array<string>>>"
-    start = F.array(F.struct(F.lit(T.NO_SECTION).alias("section"), F.array().cast("array<string>").alias("lines")))
 
-    def fold(acc: Column, item: Column) -> Column:
-        fresh = F.struct(item["label"].alias("section"), F.when(item["line"] != "", F.array(item["line"])).otherwise(F.array().cast("array<string>")).alias("lines"))
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["section"].alias("section"), F.concat(last["lines"], F.array(item["line"])).alias("lines"))
-        return F.when(item["label"] != "", F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
+def _grouped(lines: list) -> list[tuple[str, list[str]]]:
+    """Sections from labelled lines, in one pass: a heading opens one; those without lines are dropped."""
+    out: list[tuple[str, list[str]]] = [(T.NO_SECTION, [])]
+    for item in lines:
+        if item["label"]:
+            out.append((item["label"], []))
+        if item.get("kept", item["line"] != "") or not item["label"]:
+            out[-1][1].append(item["line"])
+    return [s for s in out if s[1]]
+
 
-    return F.filter(F.aggregate(lines, start.cast(kind), fold), lambda s: F.size(s["lines"]) > 0)
+@F.pandas_udf(ArrayType(SECTION))
+def _sections(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: None if x is None else _grouped(x))
+
+
+def sections_of(column: str | Column) -> Column:
+    """array<struct(section, lines)> of a cleaned text; text before the first heading is ``body``, repeated labels stay
+    apart."""
+    return _sections(labelled_lines(column))
 
 
 def units(paragraph: str, limit: int) -> Iterator[str]:
@@ -113,7 +123,7 @@ def _bodies(settings: Settings):
         out = []
         for subject, found, summary, title in zip(subjects, own, summaries, titles, strict=True):
             limit = max(settings.chunk_max_chars - (len(subject) + 1 if subject else 0), settings.chunk_min_chars)
-            named = [(s["section"], s["lines"]) for s in found]
+            named = _grouped(found)
             if len(summary):
                 named = [*(named or [(T.NO_SECTION, [title])]), (T.SUMMARY_SECTION, summary)]
             rows = []
@@ -137,7 +147,7 @@ def chunk_notices(notices: DataFrame, settings: Settings | None = None, summarie
     settings = settings or Settings()
     n = notices.select(F.col("notice_num").cast("bigint").alias("notice_num"), T.trim_blank(F.coalesce("subject", F.lit(""))).alias("subject"), T.trim_blank(F.coalesce("committee", F.lit(""))).alias("committee"), T.clean_text("proposal_reason", compose).alias("reason"), (T.clean_text("ai_summary", compose) if summaries and "ai_summary" in notices.columns else F.lit("")).alias("summary"))
     bare = lambda p: T.trim_blank(T.strip_glued(T.strip_mark(p)))
-    own = F.transform(sections_of("reason"), lambda s: F.struct(s["section"].alias("section"), F.transform(s["lines"], bare).alias("lines")))
+    own = F.transform(labelled_lines("reason"), lambda x: F.struct(x["label"].alias("label"), bare(x["line"]).alias("line"), (x["line"] != "").alias("kept")))
     n = n.withColumn("found", _bodies(settings)(F.col("subject"), own, F.transform(T.paragraphs("summary"), bare), bare(F.col("subject"))))
     plain = F.array_join(F.filter(F.transform(F.split("reason", "\n"), lambda p: T.strip_mark(T.trim_blank(p))), lambda p: p != ""), "\n")
     fallback = F.array(F.struct(F.lit(T.NO_SECTION).alias("section"), T.trim_blank(F.concat_ws("\n", "subject", plain)).alias("text")))

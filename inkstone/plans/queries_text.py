@@ -61,11 +61,14 @@ def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
-@query("normalize_golden", None)
+_RESIDUE = [("가\r\n나\r다", "가\n나\n다"), ("<b>굵게</b> 보통", "굵게 보통"), ("a\u200bb\u200cc\u200dd\ufeff", "abcd"), ("  앞 \t　 뒤  ", "앞 뒤"), ("가\n\n\n\n나", "가\n\n나"), ("\u1100\u1161\u11a8", "각"), (None, ""), ("", ""), ("a < b and c > d", "a d")]
+
+
+@query("normalize_golden", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, (_, b) in enumerate(_RESIDUE)) + ") t(id, cleaned)")
 def normalize_golden(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with every kind of residue, and whether each came out as it must."""
-    rows = [("가\r\n나\r다", "가\n나\n다"), ("<b>굵게</b> 보통", "굵게 보통"), ("a​b‌c‍d﻿", "abcd"), ("  앞 \t　 뒤  ", "앞 뒤"), ("가\n\n\n\n나", "가\n\n나"), ("각", "각"), (None, ""), ("", ""), ("a < b and c > d", "a d")]
-    return spark.createDataFrame(rows, "raw string, expected string").select("raw", (text.clean_text("raw") == F.col("expected")).alias("right"))
+    """Texts with every kind of residue."""
+    rows = [(i, a) for i, (a, _) in enumerate(_RESIDUE)]
+    return spark.createDataFrame(rows, "id int, raw string").select("id", text.clean_text("raw").alias("cleaned"))
 
 
 @query("paragraphs_exploded", f"SELECT doc_id, (i - 1)::INTEGER AS pos, sha256(p[i]) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format('x').replace('{{', '{').replace('}}', '}')}), lambda x: x <> '') p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) u(i)")
@@ -85,17 +88,22 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(text.split_sentences("text")).alias("sentences"))
 
 
-@query("section_running_number", r"""
-WITH l AS (SELECT notice_num, pos, line, regexp_extract(line, '^\s*(?:[\[\(【]\s*)?(?:대안\s*의\s*)?(?:[\[\(【]\s*)?((?:제안\s*이유(?:\s*(?:및|·|,)\s*주요\s*내용)?|주요\s*내용|주요\s*골자|참고\s*사항|검토\s*의견))[\]\)】]?(?:\s|$)', 1) AS label FROM (SELECT notice_num, i AS pos, p[i] AS line FROM (SELECT notice_num, """ + f"list_filter(list_transform(string_split({cleaned('proposal_reason')}, chr(10)), lambda x: {TRIM.replace('{{', '{').replace('}}', '}').replace('{0}', 'x')}), lambda x: x <> '') p FROM (SELECT DISTINCT notice_num, proposal_reason FROM notices_chunk_coverage WHERE proposal_reason IS NOT NULL)), unnest(range(1, len(p) + 1)) u(i)))" + """
-SELECT notice_num, section_no, max(label) AS label, count(*) AS lines FROM (SELECT *, sum(CASE WHEN label <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY notice_num ORDER BY pos)::BIGINT AS section_no FROM l) GROUP BY notice_num, section_no""")
-def section_running_number(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with the running number of their section, as a window over the lines of a notice."""
-    from pyspark.sql import Window
+_OPENS = rf"^\s*[\[(【]?\s*(?:{text.spaced(text.QUALIFIER)}\s*)?[\[(【]?\s*({text.LABEL})[\])】]?"
+_TRIM_LINE = TRIM.replace("{{", "{").replace("}}", "}")
+#: Lines of cleaned notices with their label and what follows it.
+LINES = f"""
+l AS (SELECT notice_num, pos, line, regexp_extract(line, '{_OPENS}(?:\\s|$)', 1) AS label, {_TRIM_LINE.replace('{0}', f"regexp_replace(line, '{_OPENS}(?:\\s|$)', '')")} AS tail FROM (SELECT notice_num, i AS pos, p[i] AS line FROM (SELECT notice_num, list_filter(list_transform(string_split({cleaned('proposal_reason')}, chr(10)), lambda x: {_TRIM_LINE.replace('{0}', 'x')}), lambda x: x <> '') p FROM n), unnest(range(1, len(p) + 1)) u(i))),
+s AS (SELECT *, sum(CASE WHEN label <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY notice_num ORDER BY pos)::BIGINT AS no, CASE WHEN label = '' THEN line ELSE tail END AS own FROM l)"""
 
+
+@query("section_running_number", f"""
+WITH n AS (SELECT DISTINCT notice_num, proposal_reason FROM notices_chunk_coverage WHERE proposal_reason IS NOT NULL), {LINES}
+SELECT notice_num, (row_number() OVER (PARTITION BY notice_num ORDER BY no) - 1)::INTEGER AS place, section, lines FROM (SELECT notice_num, no, coalesce(nullif(max(label), ''), 'body') AS section, (count(*) FILTER (WHERE own <> '' OR label = ''))::INTEGER AS lines FROM s GROUP BY notice_num, no) WHERE lines > 0""")
+def section_running_number(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of each notice in order, with their number of lines."""
     n = table(spark, d, "notices_chunk_coverage").where("proposal_reason IS NOT NULL").select("notice_num", "proposal_reason").distinct()
-    lines = n.select("notice_num", F.posexplode(text.paragraphs(text.clean_text("proposal_reason"))).alias("pos", "line")).withColumn("label", text.header_label("line"))
-    numbered = lines.withColumn("section_no", F.sum(F.when(F.col("label") != "", 1).otherwise(0)).over(Window.partitionBy("notice_num").orderBy("pos")))
-    return numbered.groupBy("notice_num", "section_no").agg(F.max("label").alias("label"), F.count("*").alias("lines"))
+    found = n.select("notice_num", F.posexplode(chunking.sections_of(text.clean_text("proposal_reason"))).alias("place", "s"))
+    return found.select("notice_num", "place", "s.section", F.size("s.lines").alias("lines"))
 
 
 @query("item_marks", r"""SELECT notice_num, count(*) AS lines, count(*) FILTER (WHERE regexp_replace(line, '^\s*(?:[가나다라마바사아자차카타파하]\s*[.)]|\d{1,3}\s*[.)]|[①-⑳]|[\[\(][가나다라마바사아자차카타파하\d]{1,3}[\]\)]|[ㅇ○●◦•])(?:\s+|$)', '') <> line) AS marked FROM (SELECT notice_num, unnest(string_split(proposal_reason, chr(10))) AS line FROM (SELECT DISTINCT notice_num, proposal_reason FROM notices_chunk_coverage WHERE proposal_reason IS NOT NULL)) GROUP BY notice_num""")
@@ -113,11 +121,11 @@ def ko_structure_golden(spark: SparkSession, d: str) -> DataFrame:
     return r.select("kind", "raw", F.when(F.col("kind") == "mark", text.strip_mark("raw")).when(F.col("kind") == "glued", text.strip_glued("raw")).when(F.col("kind") == "header", text.header_label("raw")).otherwise(text.amended_law("raw")).alias("result"))
 
 
-@query("amended_laws", rf"SELECT regexp_replace(regexp_extract({cleaned('subject')}, '^(.+?)\s*(?:일부개정|전부개정)\s*법률안(?:\s*\([^()]*\))*$', 1), '\s+', '', 'g') AS law, count(DISTINCT notice_num) AS notices FROM notices_capability_gate WHERE subject IS NOT NULL AND regexp_extract({cleaned('subject')}, '^(.+?)\s*(?:일부개정|전부개정)\s*법률안(?:\s*\([^()]*\))*$', 1) <> '' GROUP BY law")
+@query("amended_laws", f"SELECT regexp_replace(left(t, length(t) - length(e)), '\\s+', '', 'g') AS law, count(DISTINCT notice_num) AS notices FROM (SELECT *, regexp_extract(t, '(?:{'|'.join(map(text.spaced, text.AMENDMENTS))})$') AS e FROM (SELECT notice_num, regexp_replace({cleaned('subject')}, '(\\s*\\([^()]*\\))+$', '') AS t FROM notices_capability_gate WHERE subject IS NOT NULL)) WHERE e <> '' AND trim(left(t, length(t) - length(e))) <> '' GROUP BY law")
 def amended_laws(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notices_capability_gate").select("notice_num", text.clean_text("subject").alias("s"))
-    law = F.regexp_replace(F.regexp_extract("s", r"^(.+?)\s*(?:일부개정|전부개정)\s*법률안(?:\s*\([^()]*\))*$", 1), r"\s+", "")
-    return n.select("notice_num", law.alias("law")).where("law <> ''").groupBy("law").agg(F.countDistinct("notice_num").alias("notices"))
+    """Notices per law they amend."""
+    n = table(spark, d, "notices_capability_gate").select("notice_num", text.amended_law("subject").alias("law"))
+    return n.where("law IS NOT NULL").groupBy("law").agg(F.countDistinct("notice_num").alias("notices"))
 
 
 COMPOSED = r"CASE WHEN s = '' OR starts_with(text, s) THEN text ELSE s || chr(10) || text END"
@@ -204,36 +212,67 @@ def alias_expand_golden(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query", "e.text", F.array_join("e.matched", ",").alias("matched"))
 
 
-@query("alias_expand_queries")
+_PACK = lexical.KOREAN
+#: Every alias with every particle that may follow it, as one run of letters, and what it becomes.
+FORMS = "forms AS (SELECT lower(replace(alias, ' ', '')) || p AS run, alias, name || CASE WHEN alias = '" + _PACK.synonyms[1] + "' THEN coalesce(agreed, p) ELSE p END AS becomes FROM (VALUES " + ",".join(f"('{a}','{b}')" for a, b in _PACK.aliases.items()) + ") a(alias, name), (VALUES (''), " + ",".join(f"('{p}')" for p in _PACK.particles) + ") q(p) LEFT JOIN (VALUES " + ",".join(f"('{a}','{b}')" for a, b in _PACK.agreement.items()) + ") g(given, agreed) ON given = p)"
+#: Aliases of two words count as one run where they stand alone.
+_JOINED = "regexp_replace({0}, '(^|[^0-9A-Za-z가-힣])(AI|인공지능)\\s+기본법', '\\1\\2기본법', 'gi')"
+_STOP = ",".join(f"'{t}'" for t in _PACK.stop_tokens)
+
+
+def token_sql(source: str, key: str, expr: str) -> str:
+    """Rows (key, ``tokens``) of the SQL relation ``source``: runs of letters, aliases replaced, cut into tokens."""
+    runs = f"SELECT {key}, i, r[i] AS run FROM (SELECT {key}, regexp_extract_all({_JOINED.format(cleaned(expr))}, '[0-9A-Za-z가-힣]+|ß+') AS r FROM {source}), unnest(range(1, len(r) + 1)) u(i)"
+    whole = f"SELECT {key}, string_agg(coalesce(becomes, x.run), ' ' ORDER BY i) AS t FROM ({runs}) x LEFT JOIN forms ON lower(x.run) = forms.run GROUP BY {key}"
+    return f"SELECT {key}, list_filter(list_distinct(regexp_extract_all(lower(t), '[0-9a-z가-힣]{{2,}}')), lambda x: x NOT IN ({_STOP})) AS tokens FROM ({whole})"
+
+
+@query("alias_expand_queries", f"WITH {FORMS}, q AS (SELECT DISTINCT query_id, query FROM train_queries), r AS (SELECT query_id, unnest(regexp_extract_all({_JOINED.format('query')}, '[0-9A-Za-z가-힣]+')) AS run FROM q) SELECT alias, count(DISTINCT query_id) AS queries FROM r JOIN forms ON lower(r.run) = forms.run GROUP BY alias")
 def alias_expand_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases found in the training queries, with the queries they rewrite."""
+    """Aliases found in the training queries, with the number of queries they rewrite."""
     q = table(spark, d, "train_queries").select("query_id", "query").distinct().withColumn("e", lexical.expand("query"))
     return q.select("query_id", F.explode("e.matched").alias("alias")).groupBy("alias").agg(F.countDistinct("query_id").alias("queries"))
 
 
-_STOP = ",".join(f"'{t}'" for t in lexical.KOREAN.stop_tokens)
-
-
-def token_list(expr: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower(replace(coalesce({expr},''), 'ß', 'ss')), '[0-9a-z가-힣]{{2,}}')), lambda x: x NOT IN ({_STOP}))"
+@query("query_path_orders", "SELECT * FROM (VALUES (1, '한국투자공사법 개정', '한국투자공사법,개정'), (2, 'KIC 개정', '한국투자공사법,개정'), (3, '한국투자공사법', '한국투자공사법'), (4, '', '')) t(id, embedded, tokens)")
+def query_path_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Embedding replaces aliases before it cleans, tokens are cut after cleaning: an unseen sign inside an alias hides it
+    from the one only."""
+    rows = [(1, "<b>KIC</b> 개정"), (2, "KI\u200bC 개정"), (3, "  kic "), (4, None)]
+    q = spark.createDataFrame(rows, "id int, query string")
+    return q.select("id", lexical.prepared_query("query").alias("embedded"), F.array_join(lexical.lexical_tokens("query"), ",").alias("tokens"))
 
 
-@query("lexical_token_frequency", f"SELECT token, count(*) AS df FROM (SELECT unnest({token_list('text')}) AS token FROM documents) GROUP BY token")
+@query("lexical_token_frequency", f"WITH {FORMS}, t AS ({token_sql('documents', 'doc_id', 'text')}) SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY token")
 def lexical_token_frequency(spark: SparkSession, d: str) -> DataFrame:
     """In how many documents each content token occurs."""
-    return table(spark, d, "documents").select(F.explode(lexical.content_tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return table(spark, d, "documents").select(F.explode(lexical.lexical_tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+#: Queries of both labelled sets and chunks, each row once; a chunk and a query meet where they name the same notice.
 _PAIRS = f"""
-WITH q AS (SELECT DISTINCT query_id, notice_num, {token_list('query')} AS qt FROM eval_queries),
-c AS (SELECT DISTINCT chunk_id, notice_num, {token_list("coalesce(subject,'') || chr(10) || coalesce(text,'')")} AS ct FROM chunks),
+WITH {FORMS}, qs AS (SELECT DISTINCT query_id, notice_num, query FROM eval_queries UNION SELECT DISTINCT query_id, notice_num, query FROM eval_holdout_queries),
+cs AS (SELECT chunk_id, any_value(notice_num) AS notice_num, min(coalesce(subject,'') || chr(10) || coalesce(text,'')) AS t FROM chunks GROUP BY chunk_id),
+q AS (SELECT query_id, any_value(notice_num) AS notice_num, any_value(tokens) AS qt FROM qs JOIN ({token_sql('qs', 'query_id', 'query')}) USING (query_id) GROUP BY query_id),
+c AS (SELECT chunk_id, notice_num, tokens AS ct FROM cs JOIN ({token_sql('cs', 'chunk_id', 't')}) USING (chunk_id)),
 p AS (SELECT query_id, chunk_id, len(list_filter(qt, lambda a: len(list_filter(ct, lambda b: contains(b, a) OR contains(a, b))) > 0)) AS overlap FROM q JOIN c USING (notice_num))"""
 
 
+def labelled_queries(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["query_id", "notice_num", "query"]
+    return table(spark, d, "eval_queries").select(cols).unionByName(table(spark, d, "eval_holdout_queries").select(cols)).distinct()
+
+
+def token_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """(``chunk_id``, ``notice_num``, ``ct``): one row a chunk; of unlike texts the least."""
+    whole = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = table(spark, d, "chunks").groupBy("chunk_id").agg(F.first("notice_num").alias("notice_num"), F.min(whole).alias("t"))
+    return rows.select("chunk_id", "notice_num", lexical.lexical_tokens("t").alias("ct"))
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "eval_queries").select("query_id", "notice_num", lexical.content_tokens("query").alias("qt")).distinct()
-    c = table(spark, d, "chunks").select("chunk_id", "notice_num", lexical.content_tokens(F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("text", F.lit("")))).alias("ct")).distinct()
-    return q.join(c, "notice_num").select("query_id", "chunk_id", lexical.overlap_count("qt", "ct").cast("bigint").alias("overlap"))
+    q = labelled_queries(spark, d).select("query_id", "notice_num", lexical.lexical_tokens("query").alias("qt"))
+    return q.join(token_chunks(spark, d), "notice_num").select("query_id", "chunk_id", lexical.overlap_count("qt", "ct").cast("bigint").alias("overlap"))
 
 
 @query("token_overlap_pairs", _PAIRS + "SELECT query_id, chunk_id, overlap FROM p")
@@ -247,7 +286,7 @@ def lexical_gate(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("overlap") > 0).alias("kept"))
 
 
-@query("lexical_evidence_flags", _PAIRS + "SELECT query_id, chunk_id, section <> 'AI 요약' AND overlap >= 3 AS evidence FROM p JOIN (SELECT DISTINCT chunk_id, section FROM chunks) USING (chunk_id)")
+@query("lexical_evidence_flags", _PAIRS + "SELECT query_id, chunk_id, section <> 'AI 요약' AND overlap >= 3 AS evidence FROM p JOIN (SELECT chunk_id, min(section) AS section FROM chunks GROUP BY chunk_id) USING (chunk_id)")
 def lexical_evidence_flags(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "chunks").select("chunk_id", "section").distinct()
+    s = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("section").alias("section"))
     return _overlaps(spark, d).join(s, "chunk_id").select("query_id", "chunk_id", ((F.col("section") != text.SUMMARY_SECTION) & (F.col("overlap") >= 3)).alias("evidence"))
