@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkstone.config import Settings
 from inkstone.functions import lexical, text
 from inkstone.operators import chunking, incremental
+from inkstone.plans import chunk_sql
 from inkstone.plans.registry import query
 from inkstone.session import table
 from inkstone.sources import io
@@ -148,7 +149,12 @@ def _chunks(spark: SparkSession, d: str, settings: Settings | None = None) -> Da
     return chunking.chunk_notices(n, settings)
 
 
-@query("chunk_notices")
+#: Notices with the longest of their summaries in order, and their chunks.
+NOTED = f"SELECT n.*, y.ai_summary FROM ({NOTICES}) n LEFT JOIN ({SUMMARIES}) y USING (notice_num)"
+CHUNKS = "WITH RECURSIVE " + chunk_sql.chunks(NOTED)
+
+
+@query("chunk_notices", CHUNKS + " SELECT * FROM chunks")
 def chunk_notices(spark: SparkSession, d: str) -> DataFrame:
     """Every notice cut into chunks, with the digest of what would be embedded."""
     return _chunks(spark, d).withColumn("digest", text.digest("chunk_id", "subject", "text"))
@@ -174,7 +180,7 @@ def chunk_budget_violations(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count_if((F.col("char_count") > F.col("budget") + s.chunk_min_chars + 1) & ~fallback).alias("too_long"), F.count_if((F.col("char_count") < s.chunk_min_chars) & (F.col("before") == F.col("section"))).alias("too_short"), F.count_if(F.col("place") != F.col("chunk_index")).alias("gaps"))
 
 
-@query("chunk_stats")
+@query("chunk_stats", CHUNKS + " SELECT section, count(*) AS chunks, count(DISTINCT notice_num) AS notices, round(avg(char_count), 2) AS mean_chars, min(char_count) AS min_chars, max(char_count) AS max_chars, sum(sentence_count)::BIGINT AS sentences FROM chunks GROUP BY ROLLUP(section)")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, notices and lengths per section label, all labels in the last row."""
     return _chunks(spark, d).rollup("section").agg(F.count("*").alias("chunks"), F.countDistinct("notice_num").alias("notices"), F.round(F.avg("char_count"), 2).alias("mean_chars"), F.min("char_count").alias("min_chars"), F.max("char_count").alias("max_chars"), F.sum("sentence_count").alias("sentences"))
