@@ -117,6 +117,16 @@ def pack(pieces: list[str], limit: int, overlap: int, least: int) -> list[str]:
     return packer.finish()
 
 
+class PackLines:
+    """Table function (``name``, ``lines``, limit, overlap, least) to (``name``, ``chunk_index``, ``text``): the lines of a
+    text packed into chunks; null lines give none."""
+
+    def eval(self, name: str, lines: str | None, limit: int, overlap: int, least: int):
+        pieces = [u for line in (lines or "").split("\n") if line for u in units(line, limit)]
+        for i, chunk in enumerate(pack(pieces, limit, overlap, least)):
+            yield name, i, chunk
+
+
 def _bodies(settings: Settings):
     @F.pandas_udf(ArrayType(BODY))
     def bodies(subjects: pd.Series, own: pd.Series, summaries: pd.Series, titles: pd.Series) -> pd.Series:

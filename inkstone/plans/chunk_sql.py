@@ -70,3 +70,19 @@ def chunks(source: str, p: str = "", settings: Settings | None = None) -> str:
 {p}cut AS (SELECT rid, ord, k, out[k] AS text FROM {p}packed, unnest(range(1, len(out) + 1)) t(k)),
 {p}every AS (SELECT rid, (row_number() OVER (PARTITION BY rid ORDER BY ord, k) - 1)::INTEGER AS chunk_index, section, text FROM {p}cut JOIN {p}secs USING (rid, ord) UNION ALL SELECT rid, 0, '{T.NO_SECTION}', {trimmed(f"subject || chr(10) || array_to_string(list_filter(list_transform(string_split(r, chr(10)), lambda x: {unmarked(trimmed('x'))}), lambda x: x <> ''), chr(10))")} FROM {p}n WHERE rid NOT IN (SELECT rid FROM {p}cut)),
 {p}chunks AS (SELECT notice_num || '-' || printf('%04d', chunk_index) AS chunk_id, notice_num, subject, committee, section, chunk_index, text, length(text)::INTEGER AS char_count, len({sentences_of('text')})::INTEGER AS sentence_count, sha256(notice_num || '-' || printf('%04d', chunk_index) || chr(0) || CASE WHEN subject = '' OR starts_with(text, subject) THEN text ELSE subject || chr(10) || text END || chr(10)) AS digest FROM {p}every JOIN {p}n USING (rid))"""
+
+
+def squashed(expr: str) -> str:
+    return rf"regexp_replace(coalesce({expr}, ''), '[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]+', '', 'g')"
+
+
+def capabilities(name: str, source: str, p: str = "", rows: str | None = None) -> str:
+    """Common table expression ``name`` (capability, notice_num) of the notices ``source`` cut in ``chunks(source, p)``, or
+    of other chunk ``rows`` of theirs."""
+    texts = f"SELECT notice_num, {squashed('string_agg(text, chr(0) ORDER BY chunk_index, text)')} AS whole FROM {rows or p + 'chunks'} GROUP BY notice_num"
+    return f"""
+{name}t AS (SELECT notice_num, replace(whole, chr(0), '') AS whole FROM ({texts})),
+{name} AS (SELECT 'indexed' AS capability, notice_num FROM ({source}) JOIN {name}t USING (notice_num)
+  UNION SELECT 'title_text', notice_num FROM ({source}) JOIN {name}t USING (notice_num) WHERE {squashed('subject')} <> '' AND contains(whole, {squashed('subject')})
+  UNION SELECT 'derived:ai_summary', notice_num FROM ({source}) JOIN {name}t USING (notice_num) WHERE {squashed('ai_summary')} <> '' AND contains(whole, {squashed('ai_summary')})
+  UNION SELECT 'section:' || o.section, n.notice_num FROM {p}own o JOIN {p}n n USING (rid) JOIN (SELECT DISTINCT notice_num, section FROM {rows or p + 'chunks'}) c ON c.notice_num = n.notice_num AND c.section = o.section)"""

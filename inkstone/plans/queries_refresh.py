@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import embedding, text
 from inkstone.operators import capability, chunking, incremental
-from inkstone.plans.queries_text import NOTICES, SUMMARIES, notices, summaries
+from inkstone.plans import chunk_sql
+from inkstone.plans.queries_text import CHUNKS, NOTED, NOTICES, SUMMARIES, notices, summaries
 from inkstone.plans.registry import query
 from inkstone.session import materialize, table
 from inkstone.streaming.refresh import event_windows
@@ -52,7 +53,11 @@ def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return old, new, incremental.chunk_plan(new, old)
 
 
-@query("update_plan_chunks")
+_OLD, _NEW = f"SELECT * FROM ({_LAST}) WHERE snap_no = 1", f"SELECT * FROM ({_LAST}) WHERE snap_no = snaps"
+_TWO = f"WITH RECURSIVE {chunk_sql.chunks(_OLD, 'a_')}, {chunk_sql.chunks(_NEW, 'b_')}"
+
+
+@query("update_plan_chunks", _TWO + " SELECT CASE WHEN b.chunk_id IS NULL THEN 'drop' WHEN a.digest = b.digest THEN 'reuse' ELSE 'embed' END AS action, count(*) AS chunks FROM b_chunks b FULL JOIN a_chunks a ON a.chunk_id = b.chunk_id GROUP BY action")
 def update_plan_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks to embed, to reuse and to drop when the last delivery follows the first."""
     return _plan(spark, d)[2].groupBy("action").agg(F.count("*").alias("chunks"))
@@ -77,16 +82,16 @@ def merge_vectors(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("chunk_id", F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first"))
 
 
-@query("incremental_equals_full", "SELECT 0::BIGINT AS differing")
+@query("incremental_equals_full", "WITH RECURSIVE " + chunk_sql.chunks(_NEW) + " SELECT count(*) AS chunks, 0::BIGINT AS differing FROM chunks")
 def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks whose merged vector differs from one embedded from scratch: none."""
+    """Chunks of the last delivery, and those whose merged vector differs from one embedded from scratch: none."""
     embed = embedding.hashing_embedder(64)
     old, new, plan = _plan(spark, d)
     stored = embedding.embed_chunks(old, embed)
     fresh = embedding.embed_chunks(new.join(plan.where("action = 'embed'"), "chunk_id", "left_semi"), embed)
     full = embedding.embed_chunks(new, embed).withColumnRenamed("embedding", "whole")
     both = incremental.merge_vectors(plan, fresh, stored).join(full, "chunk_id", "full")
-    return both.agg(F.count_if(~F.col("embedding").eqNullSafe(F.col("whole"))).alias("differing"))
+    return both.agg(F.count("*").alias("chunks"), F.count_if(~F.col("embedding").eqNullSafe(F.col("whole"))).alias("differing"))
 
 
 @query("hashing_embed_rows")
@@ -105,7 +110,7 @@ def _index(spark: SparkSession, d: str, derived: bool = True) -> DataFrame:
     return capability.capability_index(n, chunking.chunk_notices(n, summaries=derived))
 
 
-@query("capability_index")
+@query("capability_index", CHUNKS + ", " + chunk_sql.capabilities("f", NOTED) + " SELECT capability, count(*) AS notices FROM f GROUP BY capability")
 def capability_index(spark: SparkSession, d: str) -> DataFrame:
     """Notices per capability of the chunks as they are cut now."""
     return capability.report(_index(spark, d))
@@ -123,14 +128,21 @@ def capability_derived(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).where("capability = 'derived:ai_summary'").agg(F.count("*").alias("notices"))
 
 
-@query("derived_field_diff", "SELECT 'lost' AS change, 0::BIGINT AS pairs")
+_BARE = f"SELECT *, NULL::VARCHAR AS ai_summary FROM ({NOTICES})"
+_BOTH = "WITH RECURSIVE " + ", ".join((chunk_sql.chunks(_BARE, "a_"), chunk_sql.chunks(NOTED, "b_"), chunk_sql.capabilities("f", NOTED, "a_"), chunk_sql.capabilities("g", NOTED, "b_")))
+
+
+@query("derived_field_diff", _BOTH + " SELECT change, capability, count(*) AS pairs FROM (SELECT 'lost' AS change, * FROM (SELECT * FROM f EXCEPT SELECT * FROM g) UNION ALL SELECT 'gained', * FROM (SELECT * FROM g EXCEPT SELECT * FROM f)) GROUP BY change, capability")
 def derived_field_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Capabilities that adding summaries costs: none."""
+    """Capabilities that adding summaries costs, of which there must be none, and those it brings."""
     diff = capability.capability_diff(_index(spark, d, False), _index(spark, d))
-    return diff.where("change = 'lost'").agg(F.lit("lost").alias("change"), F.count("*").alias("pairs"))
+    return diff.groupBy("change", "capability").agg(F.count("*").alias("pairs"))
+
+
+_DELIVERED = "(SELECT DISTINCT notice_num, chunk_index, text, section FROM chunks_given)"
 
 
-@query("capability_diff_delivered")
+@query("capability_diff_delivered", "WITH RECURSIVE chunks_given AS (SELECT * FROM chunks), " + chunk_sql.chunks(NOTED, "a_") + ", " + chunk_sql.capabilities("f", NOTED, "a_") + ", " + chunk_sql.capabilities("g", NOTED, "a_", _DELIVERED) + ", k AS (SELECT notice_num FROM f INTERSECT SELECT notice_num FROM g) SELECT change, capability, count(*) AS notices FROM (SELECT 'lost' AS change, * FROM (SELECT * FROM f EXCEPT SELECT * FROM g) UNION ALL SELECT 'gained', * FROM (SELECT * FROM g EXCEPT SELECT * FROM f)) WHERE notice_num IN (SELECT notice_num FROM k) GROUP BY change, capability")
 def capability_diff_delivered(spark: SparkSession, d: str) -> DataFrame:
     """What the delivered chunks lost and gained against those cut now, over the notices both have."""
     now = _index(spark, d)

@@ -160,14 +160,17 @@ def chunk_notices(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).withColumn("digest", text.digest("chunk_id", "subject", "text"))
 
 
-@query("chunk_coverage_violations", "SELECT 0::BIGINT AS violations")
+_UNCOVERED = "WITH RECURSIVE " + chunk_sql.chunks(f"SELECT *, NULL::VARCHAR AS ai_summary FROM ({NOTICES})") + f", t AS (SELECT notice_num, string_agg({chunk_sql.squashed('text')}, '' ORDER BY chunk_index) AS whole FROM chunks GROUP BY notice_num)"
+
+
+@query("chunk_coverage_violations", _UNCOVERED + f" SELECT count(*) FILTER (WHERE NOT contains(whole, {chunk_sql.squashed(chunk_sql.bare('own'))})) AS violations FROM o JOIN n USING (rid) JOIN t USING (notice_num) WHERE {chunk_sql.bare('own')} <> ''")
 def chunk_coverage_violations(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned lines of the shaped fixture notices that no chunk of their notice holds: none."""
     n = notices(spark, d)
     return chunking.uncovered_paragraphs(n, chunking.chunk_notices(n)).agg(F.count("*").alias("violations"))
 
 
-@query("chunk_budget_violations", "SELECT 0::BIGINT AS too_long, 0::BIGINT AS too_short, 0::BIGINT AS gaps")
+@query("chunk_budget_violations", CHUNKS + ", b AS (SELECT *, greatest(200 - CASE WHEN subject = '' THEN 0 ELSE length(subject) + 1 END, 40) AS budget, lag(section) OVER w AS before, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY notice_num) AS alone FROM chunks WINDOW w AS (PARTITION BY notice_num ORDER BY chunk_index)) SELECT count(*) FILTER (WHERE char_count > budget + 41 AND alone > 1) AS too_long, count(*) FILTER (WHERE char_count < 40 AND before = section) AS too_short, count(*) FILTER (WHERE place <> chunk_index) AS gaps FROM b")
 def chunk_budget_violations(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over their notice's budget and floor, small chunks other than a section's first, and gaps in numbering."""
     from pyspark.sql import Window
@@ -199,6 +202,17 @@ def chunk_golden_shapes(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_notices(n).select(F.col("committee").alias("shape"), "chunk_index", "section", "text")
 
 
+@query("packing_golden_shapes", "SELECT * FROM (VALUES ('carry', 0, 'aaaa' || chr(10) || 'bb'), ('carry', 1, 'bb' || chr(10) || 'cccc' || chr(10) || 'dd'), ('carry', 2, 'dd' || chr(10) || 'eeeeee'), ('carry gives way', 0, 'aaaaa' || chr(10) || 'bbb'), ('carry gives way', 1, 'cccccccc'), ('small tail', 0, 'aaaaaaaaaa' || chr(10) || 'b'), ('small tail with carry', 0, 'aaaaaa' || chr(10) || 'bbb' || chr(10) || 'c'), ('small first', 0, 'a'), ('small first', 1, 'bbbbbbbbbb'), ('sentences', 0, '가나. 다라.'), ('sentences', 1, '마바. 사아.'), ('slices', 0, '가나다라마바사아자차'), ('slices', 1, '카타.' || chr(10) || '파하.')) t(shape, chunk_index, text)")
+def packing_golden_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of packing with a limit of 10 characters: what is repeated, what gives way, how small rests join."""
+    shapes = [("carry", ["aaaa", "bb", "cccc", "dd", "eeeeee"], 3, 1), ("carry gives way", ["aaaaa", "bbb", "cccccccc"], 4, 1), ("small tail", ["a" * 10, "b"], 3, 2), ("small tail with carry", ["aaaaaa", "bbb", "c"], 5, 6), ("small first", ["a", "b" * 10], 0, 2), ("sentences", ["가나. 다라. 마바. 사아."], 0, 1), ("slices", ["가나다라마바사아자차카타. 파하."], 0, 4)]
+    rows = [(i, name, "\n".join(lines), overlap, least) for i, (name, lines, overlap, least) in enumerate(shapes)]
+    cut = F.udtf(chunking.PackLines, returnType="shape string, chunk_index int, text string")
+    r = spark.createDataFrame(rows, "id int, shape string, lines string, overlap int, least int")
+    spark.udtf.register("pack_lines", cut)
+    return spark.sql("SELECT c.* FROM {r} r, LATERAL pack_lines(r.shape, r.lines, 10, r.overlap, r.least) c", r=r)
+
+
 @query("duplicate_notice_guard", "SELECT notice_num, count(*) AS n FROM notices_capability_gate GROUP BY notice_num HAVING count(*) > 1")
 def duplicate_notice_guard(spark: SparkSession, d: str) -> DataFrame:
     return chunking.duplicate_numbers(table(spark, d, "notices_capability_gate"))

@@ -79,7 +79,7 @@ def vec_sq8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.aggregate("codes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("code_sum"), (off <= step).alias("within_step"))
 
 
-@query("vec_sq8_recall")
+@query("vec_sq8_recall", f"WITH {_RANGE.split('WITH ')[-1]}, back AS (SELECT id, list((code + 0.5) / 255 * span + low ORDER BY pos) AS e FROM c GROUP BY id), w AS (SELECT q.id AS query_id, b.id AS hit_id, round(list_inner_product(q.e, b.e) / sqrt(list_inner_product(b.e, b.e)), 6) AS score FROM v q, back b WHERE q.id % 20 = 0 AND b.id <> q.id), x10 AS (SELECT query_id, hit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS r FROM w) WHERE r <= 10), f AS (SELECT query_id, hit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS r FROM (SELECT q.id AS query_id, b.id AS hit_id, round(list_inner_product(q.e, b.e), 6) AS score FROM v q, v b WHERE q.id % 20 = 0 AND b.id <> q.id)) WHERE r <= 10) SELECT count(*) AS hits, round(avg(CASE WHEN x10.hit_id IS NULL THEN 0.0 ELSE 1.0 END), 4) AS recall FROM f LEFT JOIN x10 USING (query_id, hit_id)")
 def vec_sq8_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of the flat search's ten best that the quantised search finds."""
     q, v = _vectors(spark, d)
@@ -248,7 +248,7 @@ def mcnemar_golden(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("p", stats.mcnemar(F.col("wins"), F.col("losses")))
 
 
-@query("cluster_signflip")
+@query("cluster_signflip", _REPLAY + ", d AS (SELECT a.policy, a.topic, sum(a.hit - b.hit)::BIGINT AS delta FROM o a JOIN o b ON b.policy = 'baseline' AND a.query_id = b.query_id WHERE a.policy <> 'baseline' GROUP BY a.policy, a.topic), g AS (SELECT policy, coalesce(list(delta) FILTER (WHERE delta <> 0), []) AS x FROM d GROUP BY policy) SELECT policy, avg(CASE WHEN abs(coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN (pattern >> (i - 1)) % 2 = 1 THEN x[i] ELSE -x[i] END)), 0)) >= abs(coalesce(list_sum(x), 0)) THEN 1.0 ELSE 0.0 END) AS p FROM g, unnest(range(0, (2 ** len(x))::BIGINT)) u(pattern) GROUP BY policy")
 def cluster_signflip(spark: SparkSession, d: str) -> DataFrame:
     """Sign-flip test of each policy against the baseline over the topics' differences."""
     r = _replay(spark, d)
@@ -270,7 +270,7 @@ def probe_summary_by_category(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("clear") > 0).alias("served"), F.round(F.avg("top1"), 4).alias("mean_top1"), F.round(F.avg("kept"), 4).alias("mean_kept"))
 
 
-@query("search_responses")
+@query("search_responses", f"""WITH {_HITS} SELECT query_id, '{{"results":[' || string_agg('{{"rank":' || rank || ',"hit_id":' || hit_id || ',"score":' || score || CASE WHEN score >= 0.45 THEN ',"tier":"clear"' WHEN score >= 0.25 THEN ',"tier":"weak"' ELSE '' END || '}}', ',' ORDER BY rank) || ']}}' AS response FROM h WHERE rank <= 10 GROUP BY query_id""")
 def search_responses(spark: SparkSession, d: str) -> DataFrame:
     """Each query's ten hits as one JSON response."""
     from inkstone.sources.io import to_response
