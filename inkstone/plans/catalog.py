@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import snapshots
-from inkstone.plans import queries_refresh, queries_text, queries_vector  # noqa: F401
+from inkstone.plans import queries_refresh, queries_search, queries_text, queries_vector  # noqa: F401
 from inkstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from inkstone.session import table
 
