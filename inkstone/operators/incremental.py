@@ -1,12 +1,11 @@
-"""Incremental refresh: what a new chunk set changes, merged vectors, and generations published by one pointer."""
+"""Incremental refresh: what a new chunk set changes, merged vectors, fingerprints of chunk sets."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from dataclasses import dataclass
+import hashlib
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
@@ -46,88 +45,34 @@ def merge_vectors(plan: DataFrame, fresh: DataFrame, stored: DataFrame) -> DataF
     return joined.select("chunk_id", checked.alias("embedding"))
 
 
-def set_fingerprint(chunks: DataFrame, prefix: int = 3) -> DataFrame:
-    """One digest of all chunks' ids and composed texts, as a two-level hash tree.
-
-    A leaf holds the chunks whose id's SHA-256 starts with the same ``prefix`` hex digits; its digest is over its
-    chunks' digests by id, the root's over its leaves'. Takes (``chunk_id``, ``subject``, ``text``); repeated rows count once.
-    """
-    rows = chunks.select("chunk_id", T.digest("chunk_id", "subject", "text").alias("digest"), F.substring(F.sha2("chunk_id", 256), 1, prefix).alias("leaf")).distinct()
-    leaves = rows.groupBy("leaf").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "digest"))), lambda r: r["digest"]), ""), 256).alias("digest"), F.count("*").alias("n"))
-    return leaves.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "digest"))), lambda r: r["digest"]), ""), 256).alias("fingerprint"), F.sum("n").alias("chunks"))
+#: Chunks a leaf of the hash tree holds at most, about; the tree grows a digit deeper where there are more.
+CHUNKS_PER_LEAF = 1_024
+LEAST_DIGITS = 3
 
 
-@dataclass
-class Generations:
-    """Tables written to a folder of their own each time, made current by one small pointer file.
+def set_fingerprint(chunks: DataFrame, prefix: int | None = None) -> DataFrame:
+    """One digest of all chunks' ids and composed texts, as a hash tree.
 
-    Readers pin the generation they opened. A failed or half-written generation is never pointed to, so what was
-    current keeps serving. The pointer is written under another name and renamed by Hadoop's file system, which
-    works alike on local disks and shared stores.
-    """
-
-    spark: SparkSession
-    root: str
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def current(self) -> dict | None:
-        """The pointer's content, or None before the first publication or where it can't be read."""
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/current.json")):
-            return None
-        try:
-            return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
-        except (ValueError, TypeError):
-            return None
-
-    def publish(self, tables: dict[str, DataFrame], meta: dict) -> dict:
-        name = f"g-{uuid.uuid4().hex}"
-        for table, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{table}")
-        before = self.current()
-        pointer = meta | {"generation": (before or {}).get("generation", 0) + 1, "path": f"{self.root}/{name}", "tables": sorted(tables)}
-        fs, path = self._fs()
-        fresh, final = path(f"{self.root}/{name}/pointer.json"), path(f"{self.root}/current.json")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(pointer, ensure_ascii=False).encode()))
-        out.close()
-        fs.delete(final, False)
-        if not fs.rename(fresh, final):
-            raise OSError(f"{self.root}: the pointer could not be replaced")
-        return pointer
-
-    def read(self, table: str, pointer: dict | None = None) -> DataFrame:
-        pointer = pointer or self.current()
-        if pointer is None:
-            raise LookupError(f"{self.root}: nothing is published")
-        return self.spark.read.parquet(f"{pointer['path']}/{table}")
-
-
-def refresh(store: Generations, chunks: DataFrame, embed, model: str, allow_shrink: bool = False) -> dict:
-    """One refresh cycle: plan against the current generation, embed what changed, publish; a no-op publishes nothing.
-
-    ``embed`` maps (``chunk_id``, ``subject``, ``text``) to (``chunk_id``, ``embedding``). Returns the outcome.
+    A leaf holds the chunks whose id's SHA-256 starts with the same ``prefix`` hex digits; its digest is over its
+    chunks' digests by id, a node's over those of its children, ``LEAST_DIGITS`` levels at a time up to the root. The
+    number of digits follows the number of chunks unless given, so no list grows with the collection. Takes (``chunk_id``,
+    ``subject``, ``text``); repeated rows count once. Equal sets have equal fingerprints.
     """
-    now = store.current()
-    new = chunks.withColumn("digest", T.digest("chunk_id", "subject", "text"))
-    if now and now["model"] != model:
-        raise ValueError(f"stored vectors are of {now['model']}, not {model}")
-    if now is None:
-        vectors = embed(new.select("chunk_id", "subject", "text")).join(new.select("chunk_id", "digest"), "chunk_id")
-        return {"outcome": "changed"} | store.publish({"chunks": new, "vectors": vectors}, {"model": model})
-    stored, old = store.read("vectors", now), store.read("chunks", now)
-    plan = chunk_plan(new, stored)
-    counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
-    metadata = new.exceptAll(old.select(*new.columns)).isEmpty() and old.select(*new.columns).exceptAll(new).isEmpty()
-    if metadata and not counts.get("embed") and not counts.get("drop"):
-        return {"outcome": "unchanged"} | now
-    gone = old.select("notice_num").distinct().join(new.select("notice_num").distinct(), "notice_num", "left_anti").count()
-    before = old.select("notice_num").distinct().count()
-    if gone > 100 and gone * 5 > before and not allow_shrink:
-        return {"outcome": "refused", "deleted": gone, "before": before} | now
-    fresh = embed(new.join(plan.where("action = 'embed'"), "chunk_id", "left_semi").select("chunk_id", "subject", "text"))
-    vectors = merge_vectors(plan, fresh, stored).join(new.select("chunk_id", "digest"), "chunk_id")
-    return {"outcome": "changed", "counts": counts} | store.publish({"chunks": new, "vectors": vectors}, {"model": model})
+    rows = chunks.select("chunk_id", T.digest("chunk_id", "subject", "text").alias("digest"), F.sha2("chunk_id", 256).alias("place")).distinct()
+    if prefix is None:
+        prefix = max(LEAST_DIGITS, math.ceil(math.log(max(1, chunks.count()) / CHUNKS_PER_LEAF, 16)))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "digest"))), lambda r: r["digest"]), ""), 256).alias("digest")
+    level = rows.groupBy(F.substring("place", 1, prefix).alias("node")).agg(joined("chunk_id"), F.count("*").alias("n"))
+    for digits in range(prefix - LEAST_DIGITS, 0, -LEAST_DIGITS):
+        level = level.groupBy(F.substring("node", 1, digits).alias("up")).agg(joined("node"), F.sum("n").alias("n")).withColumnRenamed("up", "node")
+    return level.agg(joined("node").alias("fingerprint"), F.sum("n").alias("chunks"))
+
+
+def exact_fingerprint(chunks: DataFrame) -> str:
+    """SHA-256 over the bytes of all chunks, by id. They are hashed as they come in order, a partition at a time, so the
+    driver holds one partition; ``set_fingerprint`` is the value to compare large sets by."""
+    rows = chunks.select("chunk_id", F.concat("chunk_id", F.lit("\x00"), T.compose("subject", "text"), F.lit("\n")).alias("line")).distinct().orderBy("chunk_id", "line")
+    total = hashlib.sha256()
+    for row in rows.select("line").toLocalIterator():
+        total.update(row["line"].encode())
+    return total.hexdigest()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inkstone.config import Settings, read_env_file
 from inkstone.functions import embedding, lexical, stats
-from inkstone.operators import capability, chunking, incremental, pairing, search, snapshots
+from inkstone.operators import capability, chunking, incremental, lifecycle, pairing, search, snapshots
 from inkstone.sources import io
 
 
@@ -134,22 +134,92 @@ def test_fusion_refuses_a_rank_offset_under_one(spark):
 
 
 # Refresh
+def notices(spark, texts):
+    return chunking.chunk_notices(spark.createDataFrame([(i, f"제목 {i}", t) for i, t in texts.items()], "notice_num bigint, subject string, proposal_reason string").withColumn("committee", F.lit("")))
+
+
+def embedder(dimension):
+    return lambda c: embedding.embed_chunks(c, embedding.hashing_embedder(dimension))
+
+
 def test_refresh_equals_full_rebuild_and_noop_publishes_nothing(spark, tmp_path):
-    make = lambda texts: chunking.chunk_notices(spark.createDataFrame([(i, f"제목 {i}", t) for i, t in texts.items()], "notice_num bigint, subject string, proposal_reason string").withColumn("committee", F.lit("")))
-    embed = lambda c: embedding.embed_chunks(c, embedding.hashing_embedder(32))
-    store = incremental.Generations(spark, f"file://{tmp_path}/store")
-    assert store.current() is None
+    embed, store = embedder(32), lifecycle.Generations(spark, f"file://{tmp_path}/store")
+    assert store.current() is None and lifecycle.index_type(store) == "flat" and not lifecycle.in_step(store)
     first = {i: f"제안이유\n문장 {i} 임." for i in range(6)}
-    assert incremental.refresh(store, make(first), embed, "m")["generation"] == 1
-    assert incremental.refresh(store, make(first), embed, "m")["outcome"] == "unchanged"
+    assert lifecycle.refresh(store, notices(spark, first), embed, "m")["generation"] == 1
+    assert lifecycle.refresh(store, notices(spark, first), embed, "m")["outcome"] == "unchanged"
     second = {**first, 2: "주요내용\n다른 문장임.", 9: "새 문장임."}
     del second[4]
-    done = incremental.refresh(store, make(second), embed, "m")
+    done = lifecycle.refresh(store, notices(spark, second), embed, "m")
     assert done["generation"] == 2 and done["counts"] == {"embed": 2, "reuse": 4, "drop": 1}
     key = lambda df: sorted((r["chunk_id"], tuple(r["embedding"])) for r in df.collect())
-    assert key(store.read("vectors")) == key(embed(make(second)))
-    with pytest.raises(ValueError):
-        incremental.refresh(store, make(second), embed, "other")
+    assert key(store.read("vectors")) == key(embed(notices(spark, second)))
+    assert lifecycle.check_state(store, "m", 32)["generation"] == 2 and lifecycle.in_step(store)
+    renamed = notices(spark, second).withColumn("committee", F.lit("새 위원회"))
+    assert lifecycle.refresh(store, renamed, embed, "m")["counts"] == {"reuse": 6}  # only what isn't embedded changed
+    with pytest.raises(lifecycle.StateError):
+        lifecycle.refresh(store, notices(spark, second), embed, "other")
+
+
+def test_crashes_and_races_leave_a_current_generation(spark, tmp_path):
+    embed, store = embedder(16), lifecycle.Generations(spark, f"file://{tmp_path}/store")
+    lifecycle.refresh(store, notices(spark, {1: "말."}), embed, "m")
+    (tmp_path / "store" / "pointer-0000000002.json").write_text('{"path": "x')  # a publisher died here
+    assert store.current()["generation"] == 1
+    with pytest.raises(lifecycle.Conflict):
+        store.publish({"chunks": store.read("chunks")}, {}, after=1)
+    assert store.publish({"chunks": store.read("chunks"), "vectors": store.read("vectors")}, {"model": "m"})["generation"] == 3
+    with store.lock():
+        assert lifecycle.tick(store, lambda: notices(spark, {1: "말."}), embed, "m")["outcome"] == "skipped"
+        with pytest.raises(lifecycle.Held), store.lock():
+            pass
+    with store.lock(seconds=-1), store.lock():  # the first one's time is up
+        pass
+
+
+def test_cycles_report_and_never_raise(spark, tmp_path):
+    embed, store = embedder(16), lifecycle.Generations(spark, f"file://{tmp_path}/store")
+    load = lambda: notices(spark, {1: "말."})
+    assert lifecycle.tick(store, load, embed, "m")["outcome"] == "changed"
+    assert lifecycle.tick(store, load, embed, "m", loaded=1)["outcome"] == "unchanged"
+    assert lifecycle.tick(store, load, embed, "m", loaded=0)["outcome"] == "changed"
+    failed = lifecycle.tick(store, lambda: 1 / 0, embed, "m")
+    assert failed["outcome"] == "failed" and "ZeroDivision" in failed["error"] and store.current()["generation"] == 1
+    many = notices(spark, {i: "말." for i in range(150)})
+    assert lifecycle.tick(store, lambda: many, embed, "m")["outcome"] == "changed"
+    refused = lifecycle.tick(store, load, embed, "m")
+    assert refused["outcome"] == "failed" and "149 of 150" in refused["error"] and store.current()["generation"] == 2
+    assert lifecycle.tick(store, load, embed, "m", allow_shrink=True)["outcome"] == "changed"
+
+
+def test_stored_state_is_checked_and_repaired(spark, tmp_path):
+    embed, store = embedder(16), lifecycle.Generations(spark, f"file://{tmp_path}/store")
+    load = lambda: notices(spark, {1: "말.", 2: "글임."})
+    lifecycle.refresh(store, load(), embed, "m")
+    chunks, vectors, good = store.read("chunks"), store.read("vectors"), {k: v for k, v in store.current().items() if k not in ("generation", "path", "tables")}
+    for spoilt, meta, message in (({"vectors": vectors.limit(1)}, {}, "vectors"), ({"vectors": vectors.withColumn("digest", F.lit(None).cast("string"))}, {}, "digests"), ({"chunks": chunks.limit(1)}, {}, "different builds"), ({}, {"model": "n"}, "stored vectors"), ({}, {"metric": "l2"}, "not served"), ({}, {"dimension": 8}, "another dimension")):
+        store.publish({"chunks": chunks, "vectors": vectors} | spoilt, good | meta)
+        with pytest.raises(lifecycle.StateError, match=message):
+            lifecycle.check_state(store, "m", 16)
+    store.publish({"chunks": chunks, "vectors": vectors}, good)
+    with pytest.raises(lifecycle.StateError, match="embedder's dimension"):
+        lifecycle.check_state(store, "m", 32)
+    store.publish({"chunks": chunks.limit(1), "vectors": vectors}, good)
+    assert not lifecycle.in_step(store)
+    repaired = lifecycle.open_generation(store, "m", 16, lambda: lifecycle.boot_repair(store, load, "m"))
+    assert store.read("chunks", repaired).count() == 2 and lifecycle.in_step(store)
+    assert not lifecycle.boot_repair(store, lambda: notices(spark, {1: "새 말.", 2: "글임."}), "m")  # it would take a vector
+
+
+def test_fingerprints_of_any_depth_tell_sets_apart(spark):
+    import hashlib
+
+    c = spark.createDataFrame([(f"{i}-0000", "제목", f"말 {i}") for i in range(50)], "chunk_id string, subject string, text string")
+    value = lambda df, **k: incremental.set_fingerprint(df, **k).first()["fingerprint"]
+    for depth in (None, 3, 5, 7):
+        assert value(c, prefix=depth) == value(c.orderBy(F.desc("text")).union(c.limit(1)), prefix=depth) != value(c.limit(49), prefix=depth)
+    lines = sorted(f"{i}-0000\x00제목\n말 {i}\n" for i in range(50))
+    assert incremental.exact_fingerprint(c) == hashlib.sha256("".join(lines).encode()).hexdigest()
 
 
 def test_merge_fails_where_a_vector_is_missing(spark):
@@ -205,17 +275,23 @@ def test_settings_are_checked(tmp_path):
     assert read_env_file(tmp_path / "e", {"B": "3"}) == {"A": "1", "B": "3"} and read_env_file("", {}) == {}
 
 
-def test_files_that_arrive_are_refreshed(spark, tmp_path):
+def test_files_that_arrive_are_merged(spark, tmp_path):
     from inkstone.streaming.refresh import refresh_from_files
 
-    store = incremental.Generations(spark, f"file://{tmp_path}/store")
-    embed = lambda c: embedding.embed_chunks(c, embedding.hashing_embedder(16))
-    n = spark.createDataFrame([(1, "가", "말.")], "notice_num bigint, subject string, proposal_reason string").withColumn("committee", F.lit(""))
-    for day, numbers in (("a", [1]), ("b", [1, 2])):
-        rows = n.withColumn("notice_num", F.explode(F.array(*map(F.lit, numbers)))).withColumn("notice_num", F.col("notice_num").cast("bigint"))
-        chunking.chunk_notices(rows).coalesce(1).write.mode("append").json(f"{tmp_path}/in-{day}")
-        refresh_from_files(spark, f"{tmp_path}/in-{day}", io.CHUNK, store, embed, "m", f"{tmp_path}/checkpoint-{day}")
-    assert store.current()["generation"] == 2 and store.read("chunks").count() == 2
+    store = lifecycle.Generations(spark, f"file://{tmp_path}/store")
+
+    def arrive(texts, gone=()):
+        rows = notices(spark, texts)
+        if gone:
+            rows = rows.unionByName(spark.createDataFrame([(n,) for n in gone], "notice_num bigint"), allowMissingColumns=True)
+        rows.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        refresh_from_files(spark, f"{tmp_path}/in", io.CHUNK, store, embedder(16), "m", f"{tmp_path}/checkpoint")
+        return {(r["notice_num"], r["text"]) for r in store.read("chunks").collect()}
+
+    assert arrive({1: "말.", 2: "글."}) == {(1, "말."), (2, "글.")}
+    assert arrive({2: "다른 글.", 3: "셋."}) == {(1, "말."), (2, "다른 글."), (3, "셋.")}
+    assert arrive({3: "셋."}, gone=[1]) == {(2, "다른 글."), (3, "셋.")}
+    assert store.current()["generation"] == 3 and lifecycle.in_step(store)
 
 
 def test_sweep_deletes_what_was_written(spark):
