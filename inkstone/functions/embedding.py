@@ -39,3 +39,32 @@ def hashing_embedder(dimension: int = 512) -> Callable[[Column], Column]:
 def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """(``chunk_id``, ``embedding``) of chunks' composed texts."""
     return chunks.select("chunk_id", embed(T.compose("subject", "text")).alias("embedding"))
+
+
+def cached(embed: Callable[[DataFrame], DataFrame], store, limit: int) -> Callable[[DataFrame], DataFrame]:
+    """An embedder of queries (``query_id``, ``prepared``) that keeps vectors by their text in a ``lifecycle.Generations``.
+
+    Only texts that aren't kept are embedded, each once; of all used the ``limit`` used last are kept, and only usable
+    vectors. A ``limit`` of 0 keeps none.
+    """
+    from inkstone.operators.search import usable
+    from inkstone.session import materialize
+
+    if limit < 1:
+        return embed
+
+    def embedded(queries: DataFrame) -> DataFrame:
+        now = store.current()
+        texts = queries.select("prepared").distinct()
+        kept = store.read("vectors", now) if now else None
+        known = texts.join(kept.select("prepared", "embedding"), "prepared") if kept else None
+        missing = texts.join(kept, "prepared", "left_anti") if kept else texts
+        named = missing.select(F.col("prepared").alias("query_id"), "prepared")
+        fresh = materialize(embed(named).select(F.col("query_id").alias("prepared"), "embedding"), "fresh-vectors")
+        used = (known.unionByName(fresh) if known else fresh).withColumn("used", F.lit((now or {}).get("generation", 0) + 1))
+        older = kept.join(texts, "prepared", "left_anti").select(*used.columns) if kept else used.limit(0)
+        table = materialize(used.where(usable("embedding")).unionByName(older).orderBy(F.desc("used"), "prepared").limit(limit), "kept-vectors")
+        store.publish({"vectors": table}, {"limit": limit})
+        return queries.join(used.select("prepared", "embedding"), "prepared").select("query_id", "embedding")
+
+    return embedded

@@ -59,3 +59,40 @@ def report(index: DataFrame) -> DataFrame:
     """Notices per capability, in the order indexed, title, sections, derived fields."""
     order = F.when(F.col("capability") == "indexed", 0).when(F.col("capability") == "title_text", 1).when(F.col("capability").startswith("section:"), 2).otherwise(3)
     return index.groupBy("capability").agg(F.count("*").alias("notices")).withColumn("place", order).orderBy("place", "capability").drop("place")
+
+
+SCHEMA = "capability string, notice_num bigint"
+
+
+def save_baseline(index: DataFrame, path: str) -> None:
+    """A capability index as JSON lines, to compare later builds with."""
+    index.select("capability", "notice_num").write.json(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A saved index; lines of another schema, missing values and an empty file are errors."""
+    df = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+    bad = df.where("capability IS NULL OR notice_num IS NULL").count()
+    if bad or df.isEmpty():
+        raise ValueError(f"{path}: {bad} lines lack a value" if bad else f"{path}: empty")
+    return df
+
+
+def verdict(baseline: DataFrame, candidate: DataFrame, mismatches: DataFrame | None = None) -> DataFrame:
+    """One row: pairs ``lost`` and ``gained`` over the notices both know, notices ``only_baseline`` and ``only_candidate``,
+    ``mismatches`` of ids between artifacts, and the ``exit_code`` of a release check: 0 if nothing is lost and all ids
+    match, 1 if something is lost, 2 if ids don't match."""
+    diff = capability_diff(baseline, candidate).agg(F.count_if(F.col("change") == "lost").alias("lost"), F.count_if(F.col("change") == "gained").alias("gained"))
+    sides = baseline.select("notice_num").distinct().withColumn("b", F.lit(1)).join(candidate.select("notice_num").distinct().withColumn("c", F.lit(1)), "notice_num", "full")
+    known = sides.agg(F.count_if(F.col("c").isNull()).alias("only_baseline"), F.count_if(F.col("b").isNull()).alias("only_candidate"))
+    odd = mismatches.agg(F.count("*").alias("mismatches")) if mismatches is not None else baseline.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("mismatches"))
+    one = diff.crossJoin(known).crossJoin(odd)  # a row each
+    return one.withColumn("exit_code", F.when(F.col("mismatches") > 0, 2).when(F.col("lost") > 0, 1).otherwise(0))
+
+
+def print_report(index: DataFrame, judged: DataFrame) -> int:
+    """Prints the notices per capability and the verdict, and returns the exit code; both tables are a few rows."""
+    print(" ".join(f"{r['capability']}={r['notices']}" for r in report(index).collect()))
+    row = judged.first()
+    print(" ".join(f"{k}={v}" for k, v in row.asDict().items()))
+    return int(row["exit_code"])

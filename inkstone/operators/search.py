@@ -149,6 +149,26 @@ def widened_window(hits: DataFrame, strong: float, least: float, notices: int) -
     return state.where(stops).groupBy("query_id").agg(F.min("window").alias("window"))
 
 
+def replay_windows(hits: DataFrame, topics: DataFrame, policies: dict[str, tuple[float, float]], notices: int) -> DataFrame:
+    """(``kind``, ``policy``, ``n``, ``blocked``, ``no_strong``, ``hits``) of policies (least, strong) over all hits (``fixed``)
+    and over each policy's own prefix of them (``prefix``). A hit is a query whose topic is among its first ``notices``
+    strong notices."""
+    both = []
+    for policy, (least, strong) in policies.items():
+        cut = hits.join(widened_window(hits, strong, least, notices), "query_id").where("rank <= window").drop("window")
+        for kind, part in (("fixed", hits), ("prefix", cut)):
+            both.append(part.select(F.lit(kind).alias("kind"), F.lit(policy).alias("policy"), "query_id", "notice_num", "rank", (F.col("score") >= least).alias("served"), (F.col("score") >= strong).alias("strong")))
+    rows = both[0]
+    for more in both[1:]:
+        rows = rows.unionByName(more)
+    best = rows.groupBy("kind", "policy", "query_id", "notice_num").agg(F.min(F.when(F.col("strong"), F.col("rank"))).alias("first"), F.max("served").alias("served"))
+    order = Window.partitionBy("kind", "policy", "query_id").orderBy(F.asc_nulls_last("first"), "notice_num")
+    placed = best.withColumn("place", F.row_number().over(order)).join(topics, "query_id")
+    hit = (F.col("notice_num") == F.col("topic")) & F.col("first").isNotNull() & (F.col("place") <= notices)
+    per = placed.groupBy("kind", "policy", "query_id").agg(F.max("served").alias("served"), F.max(F.col("first").isNotNull()).alias("strong"), F.max(hit).alias("hit"))
+    return per.groupBy("kind", "policy").agg(F.count("*").alias("n"), F.count_if(~F.col("served")).alias("blocked"), F.count_if(~F.col("strong")).alias("no_strong"), F.count_if("hit").alias("hits"))
+
+
 def recover_weak(hits: DataFrame, least: float, anchor: float = 0.60, floor: float = 0.45) -> DataFrame:
     """Hits under the minimum that amend the law of a query's best clear hit and share words with the query.
 

@@ -49,7 +49,8 @@ def merkle_levels(rows: DataFrame, levels: int) -> list[DataFrame]:
     """Digests (``ord``, ``node``, ``digest``) of each level, the root first."""
     mixed = F.xxhash64("key", "d1", "d2")
     leaf = rows.groupBy("ord", _node(levels).alias("node")).agg(F.bit_xor(mixed).alias("x"), F.sum(mixed.cast("decimal(20,0)")).alias("s"), F.count("*").alias("n"))
-    out = [leaf.select("ord", "node", F.xxhash64("x", F.col("s").cast("string"), "n").alias("digest"))]
+    # Leaves are written once, as every level above and every comparison reads them.
+    out = [materialize(leaf.select("ord", "node", F.xxhash64("x", F.col("s").cast("string"), "n").alias("digest")), "leaves")]
     for _ in range(levels):
         below = out[0]
         up = below.groupBy("ord", F.shiftrightunsigned("node", FANOUT_BITS).alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("children"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.config import KOREAN
 from inkstone.functions import embedding, text
-from inkstone.operators import capability, chunking, incremental
+from inkstone.functions.sql import register
+from inkstone.operators import capability, chunking, incremental, metrics
 from inkstone.plans import chunk_sql
 from inkstone.plans.queries_text import CHUNKS, NOTED, NOTICES, SUMMARIES, notices, summaries
 from inkstone.plans.registry import query
@@ -152,6 +156,17 @@ def capability_diff_delivered(spark: SparkSession, d: str) -> DataFrame:
     return capability.capability_diff(now, delivered).groupBy("change", "capability").agg(F.count("*").alias("notices"))
 
 
+_JUDGED = "WITH RECURSIVE chunks_given AS (SELECT * FROM chunks), " + chunk_sql.chunks(NOTED, "a_") + ", " + chunk_sql.capabilities("f", NOTED, "a_") + ", " + chunk_sql.capabilities("g", NOTED, "a_", _DELIVERED) + ", k AS (SELECT notice_num FROM f INTERSECT SELECT notice_num FROM g), j AS (SELECT (SELECT count(*) FROM (SELECT * FROM f WHERE notice_num IN (FROM k) EXCEPT SELECT * FROM g)) AS lost, (SELECT count(*) FROM (SELECT * FROM g WHERE notice_num IN (FROM k) EXCEPT SELECT * FROM f)) AS gained, (SELECT count(*) FROM (SELECT notice_num FROM f EXCEPT SELECT notice_num FROM g)) AS only_baseline, (SELECT count(*) FROM (SELECT notice_num FROM g EXCEPT SELECT notice_num FROM f)) AS only_candidate, (SELECT count(*) FROM (SELECT chunk_id, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM (SELECT chunk_id, count(*) n FROM chunks_given GROUP BY 1) a FULL JOIN (SELECT chunk_id, count(*) n FROM chunk_embeddings GROUP BY 1) b USING (chunk_id)) WHERE x <> y) AS mismatches)"
+
+
+@query("capability_verdict", _JUDGED + " SELECT *, CASE WHEN mismatches > 0 THEN 2 WHEN lost > 0 THEN 1 ELSE 0 END AS exit_code FROM j")
+def capability_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The release check of the delivered chunks and vectors against chunks cut now."""
+    n, c = _noted(spark, d), table(spark, d, "chunks")
+    delivered = capability.capability_index(n, c.select("notice_num", "chunk_index", "text", "section").distinct())
+    return capability.verdict(_index(spark, d), delivered, capability.id_mismatches(c, table(spark, d, "chunk_embeddings"), "chunk_id"))
+
+
 @query("artifact_integrity", "SELECT * FROM (SELECT chunk_id, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM (SELECT chunk_id, count(*) n FROM chunks GROUP BY 1) a FULL JOIN (SELECT chunk_id, count(*) n FROM chunk_embeddings GROUP BY 1) b USING (chunk_id)) WHERE n_left <> n_right")
 def artifact_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and vectors that don't match one to one."""
@@ -178,6 +193,27 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
+@query("timing_pairs", "WITH p AS (SELECT user_id, avg(value) FILTER (WHERE event_id % 2 = 0) AS a, avg(value) FILTER (WHERE event_id % 2 = 1) AS b FROM events GROUP BY user_id) SELECT count(*) AS pairs, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(quantile_cont(a, 0.5), 6) AS p50_a, round(quantile_cont(b, 0.5), 6) AS p50_b, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 6) AS b_faster, round(avg(a - b), 6) AS mean_saved FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
+def timing_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two variants that take turns, paired by user: events of even and of odd number."""
+    side = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    found = metrics.timing_pairs(table(spark, d, "events").groupBy("user_id").agg(side(0).alias("a"), side(1).alias("b")))
+    return found.select("pairs", *[F.round(c, 6).alias(c) for c in found.columns if c != "pairs"])
+
+
+@query("exact_fingerprint", "SELECT sha256(string_agg(line, '' ORDER BY chunk_id, line)) AS fingerprint FROM (SELECT DISTINCT chunk_id, chunk_id || chr(0) || CASE WHEN s = '' OR starts_with(text, s) THEN text ELSE s || chr(10) || text END || chr(10) AS line FROM (SELECT chunk_id, text, " + chunk_sql.trimmed("coalesce(subject, '')") + " AS s FROM chunks))")
+def exact_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """The one digest over the bytes of all chunks in order; the tree of ``set_fingerprint`` is the value that scales."""
+    return spark.createDataFrame([(incremental.exact_fingerprint(table(spark, d, "chunks")),)], "fingerprint string")
+
+
+@query("sql_surface", f"SELECT doc_id, sha256({chunk_sql.cleaned('text')}) AS cleaned, length({chunk_sql.squashed('text')})::INTEGER AS signs, len(list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣]{{2,}}')))::INTEGER AS tokens FROM documents WHERE text IS NOT NULL")
+def sql_surface(spark: SparkSession, d: str) -> DataFrame:
+    """The functions called from SQL."""
+    register(spark, dataclasses.replace(KOREAN, stop_tokens=()))
+    return spark.sql("SELECT doc_id, sha2(clean_text(text), 256) AS cleaned, length(squash(text)) AS signs, size(content_tokens(text)) AS tokens FROM {docs} WHERE text IS NOT NULL", docs=table(spark, d, "documents"))
+
+
 @query("committee_counts", f"SELECT regexp_replace(committee, '^\\s+|\\s+$', '', 'g') AS committee, proposer_category, count(*) AS notices FROM ({NOTICES}) GROUP BY ALL")
 def committee_counts(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).groupBy(F.regexp_replace("committee", r"^\s+|\s+$", "").alias("committee"), "proposer_category").agg(F.count("*").alias("notices"))

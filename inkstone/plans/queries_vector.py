@@ -228,6 +228,17 @@ def policy_replay_summary(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, d).groupBy("policy").agg(F.count("*").alias("n"), *[F.sum(a).cast("bigint").alias(b) for a, b in (("served", "served"), ("hit", "hits"), ("blocked", "blocked"))])
 
 
+_WINDOWS = f"WITH {_HITS}, p AS (SELECT * FROM (VALUES ('baseline', 0.25, 0.45), ('minimum_only', 0.45, 0.45), ('equal_049', 0.49, 0.49), ('prior_cosine_only', 0.49, 0.51)) p(policy, least, strong)), w AS (SELECT DISTINCT query_id, least(9 * (2 ** i)::INTEGER, c)::INTEGER AS win, c FROM (SELECT query_id, count(*) AS c FROM h GROUP BY query_id), unnest(range(0, 12)) u(i)), st AS (SELECT policy, w.query_id, win, c, count(DISTINCT CASE WHEN score >= strong THEN label END) AS found, count(*) FILTER (WHERE score >= least) AS served FROM w JOIN h ON h.query_id = w.query_id AND h.rank <= win, p GROUP BY ALL), pw AS (SELECT policy, query_id, min(win) AS win FROM st WHERE found >= 3 OR served < win OR win >= c GROUP BY ALL), r AS (SELECT 'fixed' AS kind, policy, least, strong, h.* FROM h, p UNION ALL SELECT 'prefix', policy, least, strong, h.* FROM h JOIN pw USING (query_id) JOIN p USING (policy) WHERE h.rank <= pw.win), nl AS (SELECT kind, policy, query_id, label, row_number() OVER (PARTITION BY kind, policy, query_id ORDER BY min(rank), label) AS place FROM r WHERE score >= strong GROUP BY kind, policy, query_id, label), o AS (SELECT kind, policy, query_id, max(CASE WHEN score >= least THEN 1 ELSE 0 END) AS served, max(CASE WHEN score >= strong THEN 1 ELSE 0 END) AS confident FROM r GROUP BY ALL)"
+
+
+@query("policy_replay_windows", _WINDOWS + " SELECT kind, policy, count(*) AS n, sum(1 - served)::BIGINT AS blocked, sum(1 - confident)::BIGINT AS no_strong, count(x.query_id) AS hits FROM o LEFT JOIN (SELECT kind, policy, query_id FROM nl JOIN v ON v.id = nl.query_id AND v.label = nl.label WHERE place <= 3) x USING (kind, policy, query_id) GROUP BY kind, policy")
+def policy_replay_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The policies over the fixed window of hits and over the prefix a caller would end with."""
+    hits = _hits(spark, d).withColumnRenamed("label", "notice_num")
+    own = _vectors(spark, d)[0].select(F.col("id").alias("query_id"), F.col("label").alias("topic"))
+    return search.replay_windows(hits, own, _POLICIES, 3)
+
+
 @query("wilson_ci", _REPLAY + ", c AS (SELECT policy, sum(hit)::DOUBLE AS k, count(*)::DOUBLE AS n FROM o GROUP BY policy) SELECT policy, round(greatest(0.0, (k/n + 1.959964*1.959964/(2*n)) / (1 + 1.959964*1.959964/n) - 1.959964*sqrt(k/n*(1-k/n)/n + 1.959964*1.959964/(4*n*n)) / (1 + 1.959964*1.959964/n)), 4) AS low, round(least(1.0, (k/n + 1.959964*1.959964/(2*n)) / (1 + 1.959964*1.959964/n) + 1.959964*sqrt(k/n*(1-k/n)/n + 1.959964*1.959964/(4*n*n)) / (1 + 1.959964*1.959964/n)), 4) AS high FROM c")
 def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
     low, high = stats.wilson(F.col("k"), F.col("n"))

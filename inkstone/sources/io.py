@@ -104,22 +104,43 @@ class _SqliteReader(DataSourceReader):
             yield from db.execute(sql, args)
 
 
-def write_matrix(df: DataFrame, path: str, model: str) -> None:
+INDEX_TYPES = ("flat", "sq8")
+
+
+def write_matrix(df: DataFrame, path: str, model: str, index_type: str = "flat") -> None:
     """Vectors (``chunk_id``, ``embedding``, ``digest``) with a one-row table of what they were made by."""
+    if index_type not in INDEX_TYPES:
+        raise ValueError(f"{index_type} is no kind of index")
     df.write.parquet(f"{path}/vectors")
     first = df.select(F.size("embedding").alias("n")).first()
-    df.sparkSession.createDataFrame([(model, first["n"] if first else 0, df.count())], "model string, dimension int, rows bigint").write.parquet(f"{path}/meta")
+    df.sparkSession.createDataFrame([(model, first["n"] if first else 0, df.count(), index_type, "inner product")], "model string, dimension int, rows bigint, index_type string, metric string").write.parquet(f"{path}/meta")
 
 
-def read_matrix(spark: SparkSession, path: str, model: str | None = None, dimension: int | None = None) -> DataFrame:
-    """The vectors, after their meta row was checked: a model, dimension or row count that differs is an error."""
+def read_matrix(spark: SparkSession, path: str, model: str | None = None, dimension: int | None = None, index_type: str | None = None) -> DataFrame:
+    """The vectors, after their meta row was checked: a model, dimension, row count, kind of index or metric that differs
+    is an error."""
     meta, df = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/vectors")
-    wrong = [f"{what} is {got}, not {want}" for what, got, want in (("model", meta["model"], model), ("dimension", meta["dimension"], dimension), ("rows", df.count(), meta["rows"])) if want is not None and got != want]
+    checks = (("model", meta["model"], model), ("dimension", meta["dimension"], dimension), ("rows", df.count(), meta["rows"]), ("index type", meta["index_type"], index_type), ("metric", meta["metric"], "inner product"))
+    wrong = [f"{what} is {got}, not {want}" for what, got, want in checks if want is not None and got != want]
     if wrong:
         raise ValueError(f"{path}: " + "; ".join(wrong))
     return df
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(``name``, ``bytes``, ``digest``): SHA-256 of every file of a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def manifest_errors(found: DataFrame, manifest: DataFrame, exact: bool = True) -> DataFrame:
+    """(``name``, ``error``): files that are ``missing`` or ``changed`` against a manifest (``name``, ``digest``) and, with
+    ``exact``, ``unknown`` ones."""
+    both = manifest.select("name", F.col("digest").alias("want"), F.lit(True).alias("listed")).join(found.select("name", F.col("digest").alias("have"), F.lit(True).alias("there")), "name", "full")
+    error = F.when(F.col("there").isNull(), "missing").when(F.col("listed").isNull(), "unknown" if exact else None).when(~F.col("want").eqNullSafe(F.col("have")), "changed")
+    return both.select("name", error.alias("error")).where("error IS NOT NULL")
+
+
 def to_response(hits: DataFrame) -> DataFrame:
     """(``query_id``, ``response``): each query's hits as one JSON text, by rank."""
     by = F.array_sort(F.collect_list(F.struct("rank", *[c for c in hits.columns if c not in ("query_id", "rank")])))

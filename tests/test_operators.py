@@ -266,6 +266,78 @@ def test_matrix_files_check_their_meta(spark, tmp_path):
         io.read_matrix(spark, f"{tmp_path}/m", "other")
 
 
+def test_files_are_checked_against_a_manifest(spark, tmp_path):
+    import hashlib
+
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    manifest = spark.createDataFrame([("a", digest("a")), ("b", digest("x")), ("d", digest("d"))], "name string, digest string")
+    found = io.file_digests(spark, str(tmp_path))
+    assert {tuple(r) for r in io.manifest_errors(found, manifest).collect()} == {("b", "changed"), ("c", "unknown"), ("d", "missing")}
+    assert {r["name"] for r in io.manifest_errors(found, manifest, exact=False).collect()} == {"b", "d"}
+
+
+def test_release_check(spark, tmp_path, capsys):
+    index = spark.createDataFrame([("indexed", 1), ("title_text", 1), ("indexed", 2)], capability.SCHEMA)
+    capability.save_baseline(index, f"{tmp_path}/b")
+    before = capability.load_baseline(spark, f"{tmp_path}/b")
+    less = index.where("capability = 'indexed'")
+    assert capability.print_report(index, capability.verdict(before, index)) == 0 and "indexed=2 title_text=1" in capsys.readouterr().out
+    assert capability.print_report(less, capability.verdict(before, less)) == 1
+    assert capability.verdict(before, index, before.limit(1)).first()["exit_code"] == 2
+    (tmp_path / "e").write_text('{"capability": "indexed"}\n')
+    with pytest.raises(ValueError):
+        capability.load_baseline(spark, f"{tmp_path}/e")
+
+
+def test_query_vectors_are_kept(spark, tmp_path):
+    asked = []
+
+    def embed(q):
+        asked.extend(r["prepared"] for r in q.collect())
+        return q.select("query_id", F.array(F.length("prepared").cast("double"), F.lit(1.0)).alias("embedding"))
+
+    store = lifecycle.Generations(spark, f"file://{tmp_path}/store")
+    keep = embedding.cached(embed, store, 2)
+    q = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "query_id int, prepared string")
+    assert {tuple(r["embedding"]) for r in keep(q("a", "bb", "a")).collect()} == {(1.0, 1.0), (2.0, 1.0)} and sorted(asked) == ["a", "bb"]
+    assert keep(q("bb", "ccc")).count() == 2 and sorted(asked) == ["a", "bb", "ccc"]
+    assert {r["prepared"] for r in store.read("vectors").collect()} == {"bb", "ccc"}
+    assert embedding.cached(embed, store, 0) is embed
+
+
+def test_metrics_are_kept(spark, tmp_path):
+    from inkstone.operators import metrics
+
+    timings = metrics.Timings()
+    with metrics.traced(spark, "abc-1") as tag, timings.span("search"):
+        assert tag == "abc-1" and "abc-1" in spark.getTags()
+    with metrics.traced(spark, "no good") as tag:
+        assert tag is None
+    for _ in range(2):
+        metrics.append(timings.rows(spark, "r1"), f"{tmp_path}/m")
+    assert not spark.getTags() and spark.read.parquet(f"{tmp_path}/m").where("span = 'search' AND duration_ms >= 0").count() == 2
+
+
+def test_blank_and_unusable_queries(spark):
+    from inkstone.operators import tiered
+
+    chunks = spark.createDataFrame([("1-0000", 1, "도로교통법 일부개정법률안", None, "body", "신호 위반 처벌"), ("2-0000", 2, "도로교통법 일부개정법률안", None, "body", "신호 대기"), ("3-0000", 3, None, None, "body", "무관")], "chunk_id string, notice_num bigint, subject string, committee string, section string, text string")
+    vectors = spark.createDataFrame([("1-0000", [1.0, 0.0]), ("2-0000", [0.5, 0.85]), ("3-0000", [-1.0, 0.0])], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "신호 위반"), (2, "  "), (3, None)], "query_id int, query string")
+    embed = lambda p: p.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    got = {(r["query_id"], r["tier"], r["notice_num"]) for r in tiered.search_tiered(q, chunks, vectors, embed, profile=False).collect()}
+    assert got == {(1, "clear", 1), (1, "clear", 2)}
+    got = {(r["tier"], r["notice_num"]) for r in tiered.search_tiered(q, chunks, vectors, embed, profile=False, settings=Settings(min_similarity=0.6, clear_similarity=0.7)).collect()}
+    assert got == {("clear", 1), ("weak", 2)}  # the same law, some words shared, under the minimum
+    assert {(r["tier"], r["notice_num"], r["candidates"]) for r in tiered.search_tiered(q, chunks, vectors, embed).collect()} == {("weak", 1, 2)}  # too few of the words are in the other
+    with pytest.raises(Exception, match="no usable vector for query 1"):
+        tiered.search_tiered(q, chunks, vectors, lambda p: p.select("query_id", F.array(F.lit(0.0)).alias("embedding")), profile=False).collect()
+    assert [r["error"] for r in tiered.request_errors(q).orderBy("query_id").collect()] == ["blank", "blank"]
+    assert tiered.request_errors(q.where("query_id = 1"), k=101).first()["error"] == "k"
+
+
 def test_settings_are_checked(tmp_path):
     assert Settings.from_env({"INKSTONE_MIN_SIMILARITY": "0.3"}).min_similarity == 0.3
     for bad in ({"INKSTONE_MIN_SIMILARITY": "0.9"}, {"INKSTONE_CHUNK_MAX_CHARS": "x"}, {"INKSTONE_DEFAULT_K": "0"}):
