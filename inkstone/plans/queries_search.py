@@ -98,3 +98,21 @@ def vectors_by_position(spark: SparkSession, d: str) -> DataFrame:
     """Rows gathered by their place in the order of ids."""
     ids = table(spark, d, "chunk_embeddings").select("chunk_id").distinct()
     return tiered.gather(ids, "chunk_id", table(spark, d, "anchor_notices").select((F.col("notice_num") % 1000).alias("position"))).select("position", "chunk_id")
+
+
+@query("idf_weights", f"WITH {FORMS}, ch AS (SELECT DISTINCT chunk_id, subject, text FROM chunks), t AS ({token_sql("(SELECT chunk_id, coalesce(subject, '') || chr(10) || coalesce(text, '') AS t FROM ch)", "chunk_id", "t")}), f AS (SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY token) SELECT token, round(least(5.0, ln(1 + (size - df + 0.5) / (df + 0.5))), 6) AS weight FROM f, (SELECT count(*) AS size FROM ch)")
+def idf_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the words of all chunks."""
+    c = table(spark, d, "chunks").select("chunk_id", "subject", "text").distinct()
+    df = c.select(F.explode(lexical.chunk_tokens("subject", "text")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.select("token", F.round(search.idf(F.lit(c.count()), F.col("df")), 6).alias("weight"))
+
+
+@query("query_coverage", _GRADED + " SELECT hh.query_id, chunk_id, round(coalesce(list_sum(list_transform(list_filter(w, lambda x: list_contains(coalesce(ct, []), x.token)), lambda x: x.weight)) / list_sum(list_transform(w, lambda x: x.weight)), 0), 6) AS coverage FROM hh JOIN ch USING (chunk_id) LEFT JOIN wt USING (query_id) LEFT JOIN ct USING (chunk_id)")
+def query_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted share of a query's words that each of its hits has, by the background sample's weights."""
+    chunks, vectors = _collection(spark, d)
+    q, hits = tiered.ranked_hits(labelled_queries(spark, d), chunks, vectors, _stand_in(spark, d), K)
+    sample = tiered.background_sample(vectors).join(chunks.select("chunk_id", lexical.chunk_tokens("subject", "text").alias("ct")), "chunk_id")
+    both = hits.join(tiered.query_weights(q, materialize(sample, "background")), "query_id", "left").withColumn("ct", lexical.chunk_tokens("subject", "text"))
+    return both.select("query_id", "chunk_id", F.round(tiered.coverage(F.col("weights"), F.col("ct")), 6).alias("coverage"))

@@ -150,29 +150,6 @@ def classify_golden(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", search.classify(F.col("s"), F.col("z"), F.col("k")).alias("tier"))
 
 
-@query("idf_weights", "WITH d AS (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text,'')), '[0-9a-z가-힣]{2,}'))) AS token FROM chunks), n AS (SELECT count(*) AS size FROM chunks), f AS (SELECT token, count(*) AS df FROM d GROUP BY token) SELECT token, round(least(5.0, ln(1 + (size - df + 0.5) / (df + 0.5))), 6) AS weight FROM f, n")
-def idf_weights(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks")
-    df = c.select(F.explode(lexical.content_tokens("text", ())).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.select("token", F.round(search.idf(F.lit(c.count()), F.col("df")), 6).alias("weight"))
-
-
-@query("query_coverage", """
-WITH q AS (SELECT DISTINCT query_id, notice_num, list_distinct(regexp_extract_all(lower(query), '[0-9a-z가-힣]{2,}')) AS t FROM eval_queries),
-c AS (SELECT DISTINCT chunk_id, notice_num, list_distinct(regexp_extract_all(lower(coalesce(text,'')), '[0-9a-z가-힣]{2,}')) AS t FROM chunks),
-f AS (SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM c) GROUP BY token), n AS (SELECT count(*) AS size FROM c),
-w AS (SELECT query_id, notice_num, token, CASE WHEN df IS NULL THEN 3.0 ELSE least(5.0, ln(1 + (size - df + 0.5) / (df + 0.5))) END AS weight FROM (SELECT query_id, notice_num, unnest(t) AS token FROM q) LEFT JOIN f USING (token), n)
-SELECT query_id, chunk_id, round(sum(CASE WHEN list_contains(c.t, token) THEN weight ELSE 0 END) / sum(weight), 6) AS coverage FROM w JOIN c USING (notice_num) GROUP BY query_id, chunk_id""")
-def query_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted share of a query's words that each chunk of its notice has."""
-    q = table(spark, d, "eval_queries").select("query_id", "notice_num", lexical.content_tokens("query", ()).alias("t")).distinct()
-    c = table(spark, d, "chunks").select("chunk_id", "notice_num", lexical.content_tokens("text", ()).alias("ct")).distinct()
-    df = c.select(F.explode("ct").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    w = q.select("query_id", "notice_num", F.explode("t").alias("token")).join(df, "token", "left").withColumn("weight", search.idf(F.lit(c.count()), F.col("df")))
-    hit = F.when(F.array_contains("ct", F.col("token")), F.col("weight")).otherwise(0.0)
-    return w.join(c, "notice_num").groupBy("query_id", "chunk_id").agg(F.round(F.sum(hit) / F.sum("weight"), 6).alias("coverage"))
-
-
 _WEAK = [(1, 1, 10, 0.70, "clear", "도로교통법", True), (1, 2, 11, 0.58, None, "도로교통법", True), (1, 3, 12, 0.57, None, "도로교통법", False), (1, 4, 13, 0.56, None, "형법", True), (1, 5, 11, 0.50, None, "도로교통법", True), (1, 6, 14, 0.44, None, "도로교통법", True), (2, 1, 20, 0.59, "clear", "민법", True), (2, 2, 21, 0.50, None, "민법", True), (3, 1, 30, 0.65, "clear", None, True), (3, 2, 31, 0.50, None, None, True)]
 
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,20 +57,37 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    written(spark, path)
     df.write.mode("errorifexists").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes what ``materialize`` wrote in this process, once no result that reads it is needed any more."""
+def written(spark: SparkSession, path: str) -> None:
+    """Notes a path to be deleted when the application ends, or by ``sweep``."""
+    if not _WRITTEN:
+        atexit.register(_sweep_at_exit)
+    _WRITTEN.append((spark, path))
+
+
+def sweep(spark: SparkSession | None = None) -> int:
+    """Deletes what ``materialize`` wrote in this process, once no result that reads it is needed any more. It is called
+    when the process ends; one that lasts calls it between its queries."""
     count = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        session, name = _WRITTEN.pop()
+        jvm = (spark or session)._jvm
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem((spark or session)._jsc.hadoopConfiguration()).delete(path, True)
     return count
 
 
+def _sweep_at_exit() -> None:
+    try:
+        sweep()
+    except Exception:  # the JVM is gone already
+        _WRITTEN.clear()
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once; a hint for the number of partitions of CPU-bound work."""
     return max(2, spark.sparkContext.defaultParallelism)

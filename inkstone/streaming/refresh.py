@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators.lifecycle import Generations, refresh
-from inkstone.session import scratch_root
+from inkstone.session import scratch_root, written
 
 
 def merged_chunks(current: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def event_windows(spark: SparkSession, root: str, name: str, width: str = "1 hou
     """
     schema = spark.read.parquet(f"{root}/{name}.parquet").schema
     base = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    written(spark, base)
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{root}/{name}.parquet*").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     counts = events.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flat = counts.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
