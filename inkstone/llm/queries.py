@@ -126,6 +126,7 @@ CAPACITY = 2_048
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every text, or part of a text over the capacity, with its container. A text without tokens takes room for one."""
+    tokens.share(spark)
     docs = table(spark, d, "documents").select("doc_id", F.inline(tokens.text_parts("text", CAPACITY)))
     items = materialize(docs.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("part_no").cast("string")).alias("item"), F.greatest("tokens", F.lit(1)).alias("room"), "doc_id", "part_no", "start_char", "end_char", "tokens"), "items")
     packed = packing.pack(items.select("item", "room"), CAPACITY)
@@ -146,6 +147,7 @@ def p8_cover(spark: SparkSession, d: str) -> DataFrame:
 
 # Problem 9
 def _mixture(spark: SparkSession, d: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    tokens.share(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), mixing.plain_source("source").alias("source"), tokens.token_count("text").alias("tokens"))
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "source_targets").collect()]
     return mixing.mixture(docs, targets, budget=budget)

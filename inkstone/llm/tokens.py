@@ -9,7 +9,8 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -21,11 +22,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PART = StructType([StructField("part_no", IntegerType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), StructField("tokens", IntegerType())])
 
 
+def share(spark: SparkSession, path: str = VOCABULARY) -> None:
+    """Sends the vocabulary file to the executors, where it doesn't lie at ``path`` on each of them."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
+    at = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+    with open(at, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
