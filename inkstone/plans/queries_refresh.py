@@ -98,7 +98,17 @@ def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("chunks"), F.count_if(~F.col("embedding").eqNullSafe(F.col("whole"))).alias("differing"))
 
 
-@query("hashing_embed_rows")
+#: CRC-32 by its table, over the bytes of every distinct run of three characters.
+_CRC = f"""
+WITH k AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+e AS (SELECT DISTINCT chunk_id, {chunk_sql.squashed("CASE WHEN s = '' OR starts_with(text, s) THEN text ELSE s || chr(10) || text END")} AS x FROM (SELECT chunk_id, text, {chunk_sql.trimmed("coalesce(subject, '')")} AS s FROM chunks)),
+g AS (SELECT chunk_id, x, substr(x, i, 3) AS gram FROM e, unnest(range(1, length(x) - 1)) u(i)),
+b AS (SELECT gram, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS b FROM (SELECT DISTINCT gram, hex(encode(gram)) AS h FROM g)),
+c AS (SELECT gram, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) % 256) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 512 AS bucket FROM b, k)
+"""
+
+
+@query("hashing_embed_rows", _CRC + "SELECT e.chunk_id, count(DISTINCT bucket)::INTEGER AS used, CASE WHEN count(bucket) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM e LEFT JOIN g USING (chunk_id, x) LEFT JOIN c USING (gram) GROUP BY e.chunk_id, e.x")
 def hashing_embed_rows(spark: SparkSession, d: str) -> DataFrame:
     """Trigram vectors of the delivered chunks: elements used and length."""
     e = table(spark, d, "chunks").select("chunk_id", "subject", "text").distinct().select("chunk_id", embedding.hashing_embedder()(text.compose("subject", "text")).alias("v"))

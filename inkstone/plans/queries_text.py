@@ -202,6 +202,11 @@ def chunk_golden_shapes(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_notices(n).select(F.col("committee").alias("shape"), "chunk_index", "section", "text")
 
 
+@query("chunk_previews", "SELECT DISTINCT chunk_id, left(replace(text, chr(10), ' '), 80) AS preview FROM chunks")
+def chunk_previews(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", text.preview("text").alias("preview")).distinct()
+
+
 @query("packing_golden_shapes", "SELECT * FROM (VALUES ('carry', 0, 'aaaa' || chr(10) || 'bb'), ('carry', 1, 'bb' || chr(10) || 'cccc' || chr(10) || 'dd'), ('carry', 2, 'dd' || chr(10) || 'eeeeee'), ('carry gives way', 0, 'aaaaa' || chr(10) || 'bbb'), ('carry gives way', 1, 'cccccccc'), ('small tail', 0, 'aaaaaaaaaa' || chr(10) || 'b'), ('small tail with carry', 0, 'aaaaaa' || chr(10) || 'bbb' || chr(10) || 'c'), ('small first', 0, 'a'), ('small first', 1, 'bbbbbbbbbb'), ('sentences', 0, '가나. 다라.'), ('sentences', 1, '마바. 사아.'), ('slices', 0, '가나다라마바사아자차'), ('slices', 1, '카타.' || chr(10) || '파하.')) t(shape, chunk_index, text)")
 def packing_golden_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Shapes of packing with a limit of 10 characters: what is repeated, what gives way, how small rests join."""
