@@ -162,7 +162,7 @@ def _candidates(unique: DataFrame, similarity: float, rare: float, telling: floa
     return sharing.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def similar_sets(sets: DataFrame, similarity: float = 0.8, telling: float = 3.0, rare: float = 1 / 2000, rows_per_block: int = 4_000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(sets: DataFrame, similarity: float = 0.8, telling: float = 6.0, rare: float = 1 / 2000, rows_per_block: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """Links between representatives of equal sets, and membership.
 
     Takes (``k``, ``words``, ``n``). Result: (``a``, ``b``, ``similarity``) with ``a < b``, and (``k``, ``rep``) where
