@@ -179,12 +179,13 @@ def _sliced(df: DataFrame, shard: str, counts: dict[int, int], name: str, spread
     return df.join(F.broadcast(sizes), shard, "left").withColumn(name, slices).drop("_slices")
 
 
-def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int = 12_000, sample_per_shard: int = 64, max_sample: int = 200_000, queries_per_task: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float = -1.0, relax: float = 1.0, queries: DataFrame | None = None, rows_per_shard: int | None = None, sample_per_shard: int = 64, max_sample: int = 200_000, queries_per_task: int = 60_000) -> DataFrame:
     """(``q``, ``n``, ``cosine``): up to ``k`` most similar other vectors of each, none under ``min_cosine``.
 
     Takes (``id``, ``vec``) and, where only some are asked for, the queries' ``id``. Equal cosines go by the smaller id.
     Keys with the very same vector are searched once and expanded; of such a group each member sees the others with
-    the least ids. The routing tree is made from ``sample_per_shard`` vectors per shard, at most ``max_sample`` in all.
+    the least ids. Shards hold a sixteenth of the vectors, but 12,000 to 50,000, unless ``rows_per_shard`` is given: a query
+    reaches fewer of large ones, and inside them its tree prunes. The routing tree is made from ``sample_per_shard`` vectors per shard, at most ``max_sample`` in all.
     A shard of over four times ``rows_per_shard``, as there are where that bound holds or space can't be divided, is cut
     into slices with a tree each, all of which its queries search; queries of a shard come in slices of
     ``queries_per_task``. So a task's work is bounded at any size, and a shard is copied once a slice of its queries.
@@ -201,6 +202,7 @@ def nearest(vectors: DataFrame, dimension: int, k: int = 5, min_cosine: float =
     wanted = all_rows.select("id", "h1", "h2") if queries is None else all_rows.select("id", "h1", "h2").join(queries.select("id").distinct(), "id", "left_semi")
     membership = wanted.join(heads, ["h1", "h2"]).select("id", "rep")
     total = unique.count()
+    rows_per_shard = rows_per_shard or min(50_000, max(12_000, total // 16))
     depth = max(0, min(math.ceil(math.log2(max(1, total / rows_per_shard))), math.floor(math.log2(max_sample / 8))))
     most = min(max_sample, sample_per_shard * 2**depth)
     share = min(1.0, 1.5 * most / max(1, total))
