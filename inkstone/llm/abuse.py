@@ -66,8 +66,21 @@ def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield np.where(there, ((h >> np.uint64(20)) & np.uint64(NONE - 1)).astype("i4"), NONE)
 
 
-def _features(codes: np.ndarray) -> np.ndarray:
-    return np.stack(list(_hashes(codes)), axis=1) if len(codes) else np.zeros((0, len(SUBSEQUENCES)), "i4")
+def _features(streams: list[np.ndarray], letters_per_batch: int = 200_000) -> list[np.ndarray]:
+    """The features of each text, a row a letter; texts are hashed many at a time, with a gap between any two."""
+    out: list[np.ndarray] = []
+    pad, batch, held = np.zeros(WINDOW, np.uint64), [], 0
+    for i, stream in enumerate(streams):
+        batch.append(stream)
+        held += len(stream)
+        if held >= letters_per_batch or i == len(streams) - 1:
+            whole = np.stack(list(_hashes(np.concatenate([x for s in batch for x in (s, pad)]))), axis=1)
+            at = 0
+            for s in batch:
+                out.append(whole[at : at + len(s)])
+                at += len(s) + WINDOW
+            batch, held = [], 0
+    return out
 
 
 def _best(v: np.ndarray, features: np.ndarray) -> tuple[int, float]:
@@ -120,10 +133,10 @@ class AbuseModel:
         return out
 
 
-def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _log_odds(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     held = np.zeros((2, NONE + 1))
-    for d, label in zip(docs, y, strict=True):
-        held[int(label), np.unique(_features(d))] += 1
+    for f, label in zip(features, y, strict=True):
+        held[int(label), np.unique(f)] += 1
     n = np.bincount(y.astype(int), minlength=2)
     v = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
     v = np.where(held.sum(axis=0) >= 2, np.maximum(v, -1.0), 0.0)
@@ -193,16 +206,16 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
     if not docs or y.min(initial=1) == y.max(initial=0) or len(set(y.tolist())) < 2:
         return AbuseModel(np.zeros(NONE + 1, "f4"), -1.0)
     rng = np.random.default_rng(seed)
-    v, offset = _log_odds(docs, y), 0.0
+    features = _features(docs)
+    v, offset = _log_odds(features, y), 0.0
     for _ in range(rounds):
         stretch, scores, chance = [], [], []
-        for d, label in zip(docs, y, strict=True):
-            f = _features(d)
+        for f, label in zip(features, y, strict=True):
             at, s = _best(v, f)
             stretch.append(_vector(f[at : at + WINDOW]))
             scores.append(s)
             if not label:
-                for at in rng.integers(0, max(1, len(d) - WINDOW), 2):
+                for at in rng.integers(0, max(1, len(f) - WINDOW), 2):
                     chance.append(_vector(f[at : at + WINDOW]))
         positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         chosen = _chosen(rng, v, stretch, positive, np.array(scores), int(landmarks * 0.7))
