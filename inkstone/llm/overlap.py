@@ -187,6 +187,7 @@ def meetings(left: list[tuple[int, list[str]]], right: list[tuple[int, list[str]
     """Positions (in left, in right) of texts, given as (group, words), that share a segment in one group."""
     written: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     plain: dict[tuple, list[int]] = defaultdict(list)
+    sizes: dict[tuple, set[int]] = defaultdict(set)  # lengths of the segments there are: no others are looked up
     for e, (group, tokens) in enumerate(left):
         for variant, _ in without_small(tokens, small):
             text = "".join(variant)
@@ -196,8 +197,10 @@ def meetings(left: list[tuple[int, list[str]]], right: list[tuple[int, list[str]
                 continue
             for at, x in segments(text, SEGMENTS):
                 written[group, x].append((e, at))
+                sizes[group, "w"].add(len(x))
             for _, x in segments("".join(sorted(variant)), SORTED_SEGMENTS):
                 plain[group, "s", x].append(e)
+                sizes[group, "s"].add(len(x))
     known = {g for g, _ in left}
     for t, (group, tokens) in enumerate(right):
         if group not in known:
@@ -214,13 +217,13 @@ def meetings(left: list[tuple[int, list[str]]], right: list[tuple[int, list[str]
             starts = list(itertools.accumulate((len(w) for w in variant), initial=0))
             turns = {(s + d) % n for s in starts for d in range(-EDITS, EDITS + 1)}
             ring = text + text
-            for size in segment_lengths(n, SEGMENTS):
+            for size in segment_lengths(n, SEGMENTS) & sizes.get((group, "w"), set()):
                 for i in range(n):
                     for e, at in written.get((group, ring[i : i + size]), ()):
                         if (i - at) % n in turns:
                             found.add(e)
             ordered = "".join(sorted(variant))
-            for size in segment_lengths(n, SORTED_SEGMENTS):
+            for size in segment_lengths(n, SORTED_SEGMENTS) & sizes.get((group, "s"), set()):
                 for i in range(n - size + 1):
                     found.update(plain.get((group, "s", ordered[i : i + size]), ()))
         for e in found:

@@ -78,6 +78,15 @@ def test_spoilt_queries_meet_their_originals(spark):
     assert overlap.cross_split_overlaps(e.limit(0), t).count() == 0 and overlap.cross_split_overlaps(e, t.limit(0)).count() == 0
 
 
+def test_very_long_queries_meet_only_their_like(spark):
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("가나다라마바사") for _ in range(5)) for _ in range(4000))
+    schema = "q bigint, key bigint, text string"
+    e = spark.createDataFrame([(1, 1, long), (2, 2, "짧은 질의 하나 더")], schema)
+    t = spark.createDataFrame([(3, 1, long[:5000] + "까" + long[5001:]), (4, 2, long), (5, 1, "짧은 질의 하나 더"), (6, 2, "하나 더 짧은 질의")], schema)
+    assert {tuple(r) for r in overlap.cross_split_overlaps(e, t).collect()} == {(1, 3), (2, 6)}
+
+
 def test_small_words_are_learned(spark):
     base = [(k, f"운송인 과징금 {w} 공고{k}".split()) for k in range(8) for w in ("조항", "시기")]
     ev = spark.createDataFrame(base, "key bigint, w array<string>")
